@@ -69,7 +69,8 @@ class Coder:
         return found
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, self.pieces(text))))if text else []
+        found = self.pieces(text)
+        return list(chain.from_iterable(map(self.known.__getitem__, found)))
 
     def offsets(self, ids: list[int]) -> list[int]:
         """The byte at which each token starts."""
