@@ -38,7 +38,7 @@ def byte_characters() -> dict[int, str]:
 class Coder:
     """Encodes and decodes; cache: pieces remembered before all are forgotten."""
 
-    def __init__(self, ranks: bytes, pattern: str, cache: int = 200_000):
+    def __init__(self, ranks: bytes, pattern: str, cache: int = 500_000):
         from tokenizers import Tokenizer, models
 
         rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x.strip())}
