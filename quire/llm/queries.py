@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontam, langid, media
+from quire.llm import bpe, decontam, langid, lm, media
 from quire.llm.common import crc32_bucket
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, prefix="", digests=True).drop("text")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc32_bucket(F.col("doc_id"), 10) == 0).alias("held_out"))
+    return lm.score(docs, "not held_out", keep=("held_out",))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = langid.held_out(crc32_bucket(F.col("doc_id"), 4))
@@ -39,5 +44,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op5_bpe, op9_language_id, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op5_bpe, op8_lm_scoring, op9_language_id, op10_decontamination)}
 ORACLES: dict[str, str] = {}
