@@ -6,6 +6,7 @@ megabyte, so that the memory of a task depends neither on the batch nor on the p
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -107,6 +108,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark) -> None:
+    """Lets Spark delete the shuffle files of plans that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc32_bucket(doc_id, modulus: int):
     """crc32 of the id as text, mod modulus; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

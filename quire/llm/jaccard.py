@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import chunks, components, mix, stored, utf8, words
+from quire.llm.common import chunks, components, dropped, mix, release, stored, utf8, words
 
-FEW, TILE, FLUSH, BATCH_BYTES = 16, 2048, 1 << 20, 16 << 20
+FEW, TILE, FLUSH, BATCH_BYTES, BROADCAST_IDS = 16, 2048, 1 << 20, 16 << 20, 500_000
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -178,18 +178,27 @@ def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int, fe
         return pa.table({"key": keys[keep].view(np.int64), "class": names[keep], "n": ns[keep], "frequent": often[keep] > few, "plain": plain[order][keep], "first": names[first], "first_n": ns[first]})
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "bucket bigint, keys binary, classes binary, ns binary, plain binary")
-    return stored(found.groupBy("bucket").applyInArrow(group, "key bigint, class bigint, n bigint, frequent boolean, plain boolean, first bigint, first_n bigint"), "keys")
+    keys = stored(found.groupBy("bucket").applyInArrow(group, "key bigint, class bigint, n bigint, frequent boolean, plain boolean, first bigint, first_n bigint"), "keys")
+    release(docs.sparkSession)
+    return keys
 
 
 def _fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _texts(docs: DataFrame, named: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of one row, or few, of each class in wanted. Up to BROADCAST_IDS ids go to the texts; more, and the texts are shuffled."""
+    ids = named.where("n > 0").groupBy("class").agg(F.min("id").alias("id")).join(wanted, "class").select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, named: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of classes that link, by exact intersection; stored."""
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    example = named.where("n > 0").groupBy("class").agg(F.min("id").alias("id")).join(wanted, "class").select("id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,23 +221,26 @@ def _linked(pairs: DataFrame, docs: DataFrame, named: DataFrame, k: int, percent
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(example, "id", "left_semi")
+    texts = _texts(docs, named, wanted, id_col, text_col)
     sets = texts.mapInArrow(run, "class bigint, hashes binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
     sets = stored(sets, "sets")
     both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(meet, "a bigint, b bigint"), "links")
+    links = stored(both.mapInArrow(meet, "a bigint, b bigint"), "links")
+    dropped(sets)
+    dropped(pairs)
+    release(docs.sparkSession)
+    return links
 
 
 def _bitmaps(docs: DataFrame, wanted: DataFrame, named: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(class, bitmap) of the classes in wanted."""
-    example = named.where("n > 0").groupBy("class").agg(F.min("id").alias("id")).join(wanted, "class").select("id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(class_id(h), bitmap(h)) for _, h in shingle_sets(utf8(batch.column("text")), k) if len(h)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "bitmap"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(example, "id", "left_semi")
+    texts = _texts(docs, named, wanted, id_col, text_col)
     return texts.mapInArrow(run, "class bigint, bitmap binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
 
 

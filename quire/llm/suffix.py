@@ -14,7 +14,6 @@ Spans are compared by 128 bits of hash.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BYTE_VALUES, chunks, mix, powers, prefix_hashes, span_hashes, stored, utf8
+from quire.llm.common import BYTE_VALUES, chunks, mix, powers, prefix_hashes, release, span_hashes, stored, utf8
 
 LENGTH, KGRAM, HOT = 400, 64, 20_000
 #: Windows of a text that are looked at together; of a longer text, pieces overlap by LENGTH - 1 bytes.
@@ -191,12 +190,6 @@ def repeated(group: np.ndarray, texts: list[bytes], most: np.ndarray, least: np.
     return out
 
 
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of plans that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _verdicts(docs: DataFrame, length: int, kgram: int, hot: int) -> DataFrame:
     """(r1, r2, marks: array of key, span, ranges - null if all windows are repeated). docs: r1, r2, text."""
     spark = docs.sparkSession
