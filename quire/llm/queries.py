@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontam, jaccard, langid, lm, media, suffix
+from quire.llm import bpe, decontam, jaccard, langid, licenses, lm, media, quality, suffix, urls
 from quire.llm.common import crc32_bucket
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -36,6 +40,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, prefix="", digests=True).drop("text")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc32_bucket(F.col("doc_id"), 5) == 0).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(crc32_bucket(F.col("doc_id"), 5) != 0)
+    return quality.score(docs, quality.learn(docs.where("not held_out"), labels)).drop("text")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc32_bucket(F.col("doc_id"), 10) == 0).alias("held_out"))
     return lm.score(docs, "not held_out", keep=("held_out",))
@@ -52,5 +66,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_media_columns, op4_jaccard_join, op5_bpe, op8_lm_scoring, op9_language_id, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_media_columns, op3_url_filters, op4_jaccard_join, op5_bpe, op6_quality_classifier, op7_license_scan, op8_lm_scoring, op9_language_id, op10_decontamination)}
 ORACLES: dict[str, str] = {}
