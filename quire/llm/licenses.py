@@ -48,7 +48,11 @@ def shingles(array: Column) -> Column:
 
 def bands(window: Column) -> Column:
     """Hashes of the bands, each of ROWS minima over the window's shingles."""
-    least = [F.array_min(F.transform(window, lambda h, j=j: F.xxhash64(h, F.lit(j)))) for j in range(BANDS * ROWS)]
+
+    def least_of(seed: int) -> Column:
+        return F.array_min(F.transform(window, lambda h: F.xxhash64(h, F.lit(seed))))
+
+    least = [least_of(seed) for seed in range(BANDS * ROWS)]
     return F.array(*(F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
 
 
