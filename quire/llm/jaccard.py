@@ -4,7 +4,7 @@ A text's set holds 64-bit hashes of its distinct shingles of k words; texts of e
 100 * intersection >= percent * union. The lowest hashes of a set, a little more than the prefix that two linked sets must share, are its keys:
 linked sets share so many keys that one is in at most FEW sets, unless one set has more frequent keys than spare ones; such sets also meet by frequent keys.
 
-1. Of each key's sets, all are compared with the first. In a group of near copies nearly all become one component at once.
+1. Of each key's sets, all are compared with the first. Keys of the same sets are one. In a group of near copies nearly all become one component at once.
 2. Where a key's sets are still of several components, they go to tiles of a size band and its neighbour, large ones to several tiles of TILE
    rows a side; a tile compares bitmaps: bits that only one of two has bound their intersection from above.
 3. What passes is compared exactly, on sorted arrays.
@@ -102,25 +102,26 @@ def passing(n: np.ndarray, maps: list[bytes], component: np.ndarray, left: np.nd
 
 
 def classes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, class, check) of each row, stored."""
+    """(id, n, class, check, bitmap) of each row, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, name, check = [], [], []
+            n, name, check, maps = [], [], [], []
             for _, hashes in shingle_sets(utf8(batch.column("text")), k):
                 n.append(len(hashes))
                 name.append(class_id(hashes))
                 check.append(int(mix(hashes ^ _STEP).sum().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.array(check, pa.int64())], ["id", "n", "class", "check"])
+                maps.append(bitmap(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.array(check, pa.int64()), pa.array(maps, pa.binary())], ["id", "n", "class", "check", "bitmap"])
 
-    named = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n bigint, class bigint, check bigint"), "classes")
+    named = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n bigint, class bigint, check bigint, bitmap binary"), "classes")
     if not named.groupBy("class").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").isEmpty():
         raise ValueError("two different sets have one class id; choose another multiplier")
     return named
 
 
 def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int, few: int) -> DataFrame:
-    """(key, class, n, frequent, plain, first, first_n): keys of two classes or more; plain: in the prefix proper; first: the key's first class."""
+    """(key, who, class, n, frequent, plain, first, first_n): keys of two classes or more; who: a hash of the key's classes; plain: in the prefix proper; first: the key's first class."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -174,11 +175,12 @@ def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int, fe
         often = np.repeat(count, count)
         keep = often > 1
         first = np.repeat(start, count)[keep]
+        who = np.repeat(np.add.reduceat(mix(names.view(np.uint64)), start), count)[keep] if len(start) else keys
         ns = ns[order].astype(np.int64)
-        return pa.table({"key": keys[keep].view(np.int64), "class": names[keep], "n": ns[keep], "frequent": often[keep] > few, "plain": plain[order][keep], "first": names[first], "first_n": ns[first]})
+        return pa.table({"key": keys[keep].view(np.int64), "who": who.view(np.int64), "class": names[keep], "n": ns[keep], "frequent": often[keep] > few, "plain": plain[order][keep], "first": names[first], "first_n": ns[first]})
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "bucket bigint, keys binary, classes binary, ns binary, plain binary")
-    keys = stored(found.groupBy("bucket").applyInArrow(group, "key bigint, class bigint, n bigint, frequent boolean, plain boolean, first bigint, first_n bigint"), "keys")
+    keys = stored(found.groupBy("bucket").applyInArrow(group, "key bigint, who bigint, class bigint, n bigint, frequent boolean, plain boolean, first bigint, first_n bigint"), "keys")
     release(docs.sparkSession)
     return keys
 
@@ -232,16 +234,18 @@ def _linked(pairs: DataFrame, docs: DataFrame, named: DataFrame, k: int, percent
     return links
 
 
-def _bitmaps(docs: DataFrame, wanted: DataFrame, named: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(class, bitmap) of the classes in wanted."""
+def _bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(class_id(h), bitmap(h)) for _, h in shingle_sets(utf8(batch.column("text")), k) if len(h)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "bitmap"])
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                keep.append(len(passing(np.array([n, m]), [x, y], np.arange(2), np.array([0]), np.array([1]), percent)[0]) > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = _texts(docs, named, wanted, id_col, text_col)
-    return texts.mapInArrow(run, "class bigint, bitmap binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    both = pairs.join(maps.toDF("b", "m", "y"), "b").join(maps.toDF("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def _tiled(rows: DataFrame, percent: int, tile: int) -> DataFrame:
@@ -303,7 +307,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BATCH_BYTES + 1)
     keys = _keys(docs, k, percent, text_col, buckets, few)
-    rare = keys.where("not frequent")
+    rare = keys.where("not frequent").select(F.col("who").alias("key"), "class", "n", "first", "first_n").dropDuplicates(["key", "class"])
+    maps = named.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     n = F.col("n")
     common = F.ceil(n * percent / 100)  # the least partner's size
     prefix = lambda x: x - F.ceil(x * percent / 100) + 1
@@ -314,17 +319,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     firsts = often.groupBy("key").agg(F.min(F.struct("class", "n")).alias("f")).select("key", F.col("f.class").alias("first"), F.col("f.n").alias("first_n"))
     met = rare.select("class", "n", "first", "first_n").union(often.join(firsts, "key").select("class", "n", "first", "first_n"))
     star = met.where(F.col("class") != F.col("first")).where(_fits("n", "first_n", percent)).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    links = _linked(star, docs, named, k, percent, id_col, text_col)
+    links = _linked(_bounded(star, maps, percent), docs, named, k, percent, id_col, text_col)
     found = components(links)
-    owned = keys.where("not frequent").select("key", "class", "n").union(often)
+    owned = rare.select("key", "class", "n").union(often)
     owned = owned.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = owned.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+    release(spark)
     rows = stored(owned.join(mixed, "key", "left_semi"), "mixed")
     if not rows.isEmpty():
-        maps = _bitmaps(docs, rows.select("class").distinct(), named, k, id_col, text_col)
-        links = links.union(_linked(_tiled(rows.join(maps, "class"), percent, tile), docs, named, k, percent, id_col, text_col))
+        links = links.union(_linked(_tiled(rows.join(maps.drop("n"), "class"), percent, tile), docs, named, k, percent, id_col, text_col))
         found = components(links)
-    grouped = named.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    grouped = named.select("id", "n", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     filled = grouped.where("n > 0")
     least = filled.groupBy("component").agg(F.min("id").alias("component_id"))
     out = filled.join(least, "component").select("id", "n", "component_id").union(grouped.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
