@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in BASES)
 BYTE_VALUES = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Folders of the tables that are stored, by the innermost scratch; the first list is of those outside of any.
+_scratch: list[list[str]] = [[]]
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -95,17 +98,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder and read again: its lineage is cut and no executor's loss can lose it."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
+    _scratch[-1].append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Removes the files of a stored table."""
-    spark = df.sparkSession
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are stored within go at its end, but for those stored by the function it gives."""
+    _scratch.append([])
+
+    def kept(df: DataFrame) -> DataFrame:
+        own, _scratch[-1] = _scratch[-1], _scratch[-2]
+        try:
+            return stored(df, "result")
+        finally:
+            _scratch[-1] = own
+
+    try:
+        yield kept
+    finally:
+        for folder in _scratch.pop():
+            _delete(spark, folder)
+        release(spark)
 
 
 def release(spark) -> None:

@@ -4,7 +4,8 @@ A text's set holds 64-bit hashes of its distinct shingles of k words; texts of e
 100 * intersection >= percent * union. The lowest hashes of a set, a little more than the prefix that two linked sets must share, are its keys:
 linked sets share so many keys that one is in at most FEW sets, unless one set has more frequent keys than spare ones; such sets also meet by frequent keys.
 
-1. Of each key's sets, all are compared with the first. Keys of the same sets are one. In a group of near copies nearly all become one component at once.
+1. Of each key's sets, those of a size band and the next are compared with the band's first, the one that has the most keys in common with others. Keys of the same sets are one. In a group of near copies nearly all become one component at once.
+   While large keys have sets of several components, each set is compared with FIRSTS others of one such key, up to ROUNDS times or until few of the pairs link.
 2. Where a key's sets are still of several components, they go to tiles of a size band and its neighbour, large ones to several tiles of TILE
    rows a side; a tile compares bitmaps: bits that only one of two has bound their intersection from above.
 3. What passes is compared exactly, on sorted arrays.
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import chunks, components, dropped, mix, release, stored, utf8, words
+from quire.llm.common import chunks, components, dropped, mix, release, scratch, stored, utf8, words
 
-FEW, TILE, FLUSH, BATCH_BYTES, BROADCAST_IDS = 16, 2048, 1 << 20, 16 << 20, 500_000
+FEW, TILE, FLUSH, BATCH_BYTES, BROADCAST_IDS, ROUNDS, FIRSTS = 16, 2048, 1 << 20, 16 << 20, 500_000, 6, 16
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -67,8 +68,8 @@ def lengths(n: int, percent: int) -> tuple[int, int]:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A power of two of bits, at least as many as hashes and 64."""
-    bits = max(64, 1 << (max(1, len(hashes)) - 1).bit_length())
+    """A power of two of bits, at least four times as many as hashes, and 64: few of another set's elements hide behind it."""
+    bits = max(64, 4 << (max(1, len(hashes)) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(hashes >> np.uint64(40)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -121,7 +122,7 @@ def classes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int, few: int) -> DataFrame:
-    """(key, who, class, n, frequent, plain, first, first_n): keys of two classes or more; who: a hash of the key's classes; plain: in the prefix proper; first: the key's first class."""
+    """(key, who, class, n, frequent, plain): keys of two classes or more; who: a hash of the key's classes; plain: in the prefix proper."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -174,13 +175,12 @@ def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int, fe
         count = np.diff(np.append(start, len(keys)))
         often = np.repeat(count, count)
         keep = often > 1
-        first = np.repeat(start, count)[keep]
         who = np.repeat(np.add.reduceat(mix(names.view(np.uint64)), start), count)[keep] if len(start) else keys
         ns = ns[order].astype(np.int64)
-        return pa.table({"key": keys[keep].view(np.int64), "who": who.view(np.int64), "class": names[keep], "n": ns[keep], "frequent": often[keep] > few, "plain": plain[order][keep], "first": names[first], "first_n": ns[first]})
+        return pa.table({"key": keys[keep].view(np.int64), "who": who.view(np.int64), "class": names[keep], "n": ns[keep], "frequent": often[keep] > few, "plain": plain[order][keep]})
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "bucket bigint, keys binary, classes binary, ns binary, plain binary")
-    keys = stored(found.groupBy("bucket").applyInArrow(group, "key bigint, who bigint, class bigint, n bigint, frequent boolean, plain boolean, first bigint, first_n bigint"), "keys")
+    keys = stored(found.groupBy("bucket").applyInArrow(group, "key bigint, who bigint, class bigint, n bigint, frequent boolean, plain boolean"), "keys")
     release(docs.sparkSession)
     return keys
 
@@ -300,37 +300,67 @@ def _tiled(rows: DataFrame, percent: int, tile: int) -> DataFrame:
     return tiles.repartition(parts, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _star(rows: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the firsts of each key and size band with the rows of that band and the next that they may link to and whose component is another."""
+    seen = rows.select("key", "class", "n", "component", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    met = seen.join(firsts, ["key", "band"]).where("component <> first_c").where(_fits("n", "first_n", percent))
+    return met.select(F.least("first", "class").alias("a"), F.greatest("first", "class").alias("b")).distinct()
+
+
+def _firsts(rows: DataFrame, *orders) -> DataFrame:
+    """(key, band, first, first_n, first_c): for each order the row that is greatest by it."""
+    found = rows.groupBy("key", "band").agg(F.array(*(F.max(F.struct(o.alias("o"), "class", "n", "component")) for o in orders)).alias("f"))
+    return found.select("key", "band", F.explode("f").alias("f")).select("key", "band", F.col("f.class").alias("first"), F.col("f.n").alias("first_n"), F.col("f.component").alias("first_c")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, tile: int = TILE) -> DataFrame:
     """id_col, n_shingles long and component_id (the least id of a row that links lead to; its own if none does)."""
     spark = docs.sparkSession
-    named = classes(docs, k, id_col, text_col)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BATCH_BYTES + 1)
-    keys = _keys(docs, k, percent, text_col, buckets, few)
-    rare = keys.where("not frequent").select(F.col("who").alias("key"), "class", "n", "first", "first_n").dropDuplicates(["key", "class"])
-    maps = named.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    n = F.col("n")
-    common = F.ceil(n * percent / 100)  # the least partner's size
-    prefix = lambda x: x - F.ceil(x * percent / 100) + 1
-    spare = F.least(common, prefix(common) + F.floor(prefix(common) / 4) + 1) - prefix(common)
-    often = keys.where("frequent")
-    laden = often.groupBy("class").agg(F.count("*").alias("h"), F.max("n").alias("n")).where(F.col("h") > spare).select("class")
-    often = often.where("plain").join(laden, "class", "left_semi").select("key", "class", "n")
-    firsts = often.groupBy("key").agg(F.min(F.struct("class", "n")).alias("f")).select("key", F.col("f.class").alias("first"), F.col("f.n").alias("first_n"))
-    met = rare.select("class", "n", "first", "first_n").union(often.join(firsts, "key").select("class", "n", "first", "first_n"))
-    star = met.where(F.col("class") != F.col("first")).where(_fits("n", "first_n", percent)).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    links = _linked(_bounded(star, maps, percent), docs, named, k, percent, id_col, text_col)
-    found = components(links)
-    owned = rare.select("key", "class", "n").union(often)
-    owned = owned.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = owned.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    release(spark)
-    rows = stored(owned.join(mixed, "key", "left_semi"), "mixed")
-    if not rows.isEmpty():
-        links = links.union(_linked(_tiled(rows.join(maps.drop("n"), "class"), percent, tile), docs, named, k, percent, id_col, text_col))
+    with scratch(spark) as kept:
+        named = classes(docs, k, id_col, text_col)
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BATCH_BYTES + 1)
+        keys = _keys(docs, k, percent, text_col, buckets, few)
+        rare = keys.where("not frequent").select(F.col("who").alias("key"), "class", "n").dropDuplicates(["key", "class"])
+        maps = named.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+        n = F.col("n")
+        common = F.ceil(n * percent / 100)  # the least partner's size
+        prefix = lambda x: x - F.ceil(x * percent / 100) + 1
+        spare = F.least(common, prefix(common) + F.floor(prefix(common) / 4) + 1) - prefix(common)
+        held = F.least(n, prefix(n) + F.floor(prefix(n) / 4) + 1)
+        often = keys.where("frequent")
+        laden = often.groupBy("class").agg(F.count("*").alias("h"), F.max("n").alias("n")).where(F.col("h") > spare).select("class")
+        often = often.where("plain").join(laden, "class", "left_semi").select("key", "class", "n")
+        # What near copies were made from has the most keys in common with others: it comes first.
+        shared = keys.groupBy("class").agg((F.count("*") / F.max(held)).alias("shared"))
+        met = stored(rare.union(often).join(shared, "class").withColumn("band", F.floor(F.log(n) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("bigint")), "met")
+        alone = met.withColumn("component", F.col("class"))
+        star = _star(alone, _firsts(alone, F.col("shared")), percent)
+        links = _linked(_bounded(star, maps, percent), docs, named, k, percent, id_col, text_col)
         found = components(links)
-    grouped = named.select("id", "n", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    filled = grouped.where("n > 0")
-    least = filled.groupBy("component").agg(F.min("id").alias("component_id"))
-    out = filled.join(least, "component").select("id", "n", "component_id").union(grouped.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return out.toDF(id_col, "n_shingles", "component_id")
+        linking = True
+        for turn in range(ROUNDS):  # large keys of several components
+            owned = met.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+            mixed = stored(owned.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("rows")).where("c1 <> c2").select("key", "rows"), "several")
+            large = mixed.where(F.col("rows") > 4 * few)
+            if not linking or turn == ROUNDS - 1 or large.isEmpty():
+                break
+            rows = owned.join(large.select("key"), "key")
+            own = rows.groupBy("class").agg(F.max(F.struct(F.xxhash64("key", F.lit(turn)), "key")).alias("k")).select("class", "k.key")
+            rows = rows.join(own, ["class", "key"])
+            firsts = _firsts(rows, *(F.xxhash64("class", F.lit(turn * FIRSTS + i)) for i in range(FIRSTS)))
+            star = stored(_bounded(_star(rows, firsts, percent), maps, percent), "star")
+            new = _linked(star, docs, named, k, percent, id_col, text_col)
+            linking = 4 * new.count() > star.count()
+            links = stored(links.union(new), "links")
+            found = components(links)
+        release(spark)
+        rows = stored(owned.join(mixed.select("key"), "key", "left_semi"), "mixed")
+        if not rows.isEmpty():
+            links = links.union(_linked(_tiled(rows.join(maps.drop("n"), "class"), percent, tile), docs, named, k, percent, id_col, text_col))
+            found = components(links)
+        grouped = named.select("id", "n", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        filled = grouped.where("n > 0")
+        least = filled.groupBy("component").agg(F.min("id").alias("component_id"))
+        out = filled.join(least, "component").select("id", "n", "component_id").union(grouped.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+        return kept(out.toDF(id_col, "n_shingles", "component_id"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BYTE_VALUES, chunks, mix, powers, prefix_hashes, release, span_hashes, stored, utf8
+from quire.llm.common import BYTE_VALUES, chunks, mix, powers, prefix_hashes, release, scratch, span_hashes, stored, utf8
 
 LENGTH, KGRAM, HOT = 400, 64, 20_000
 #: Windows of a text that are looked at together; of a longer text, pieces overlap by LENGTH - 1 bytes.
@@ -322,7 +322,8 @@ def _marked(docs: DataFrame, columns: list[str], made: str, row: Callable, lengt
     who = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rest = F.struct(*columns) if columns else F.struct(F.lit(1).alias("_"))
     rows = docs.select(F.xxhash64(who, text).alias("r1"), F.xxhash64(text, F.lit("rows")).alias("r2"), text.alias("text"), rest.alias("rest"))
-    marks = _verdicts(rows.select("r1", "r2", "text"), length, kgram, hot)
+    with scratch(docs.sparkSession) as kept:
+        marks = kept(_verdicts(rows.select("r1", "r2", "text"), length, kgram, hot))
     joined = rows.join(marks, ["r1", "r2"], "left").select("rest", "text", "marks")
     fields = [docs.schema[c] for c in columns]
 
