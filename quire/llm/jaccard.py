@@ -1,13 +1,16 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
 A text's set holds 64-bit hashes of its distinct shingles of k words; texts of equal sets are one class. Two classes link when
-100 * intersection >= percent * union. The lowest hashes of a set, a little more than the prefix that two linked sets must share, are its keys:
-linked sets share so many keys that one is in at most FEW sets, unless one set has more frequent keys than spare ones; such sets also meet by frequent keys.
+100 * intersection >= percent * union. The lowest hashes of a set, a little more than the prefix in which two linked sets must share one, are its keys.
+Linked sets then share as many keys as are spare, and one more; so each set leaves out as many of its most frequent keys as it has spare ones, and
+those that nobody shares. Most texts have no key left.
 
-1. Of each key's sets, those of a size band and the next are compared with the band's first, the one that has the most keys in common with others. Keys of the same sets are one. In a group of near copies nearly all become one component at once.
+1. Of each key's sets, those of a size band and the next are compared with the band's first, the one that has the most keys in common with others. In a
+   group of near copies nearly all become one component at once.
    While large keys have sets of several components, each set is compared with FIRSTS others of one such key, up to ROUNDS times or until few of the pairs link.
-2. Where a key's sets are still of several components, they go to tiles of a size band and its neighbour, large ones to several tiles of TILE
-   rows a side; a tile compares bitmaps: bits that only one of two has bound their intersection from above.
+2. Where a key's sets are still of several components, they go to tiles of a size band and its neighbour, those of many sets to several tiles of
+   TILE rows a side; a tile compares bitmaps: bits that only one of two has bound their intersection from above. Keys of few sets are tiles of their
+   own: their pairs, told apart first, pass the same bound.
 3. What passes is compared exactly, on sorted arrays.
 
 No list of pairs within a component is made. Null texts, and texts without words, have an empty set and link with nothing; a text of fewer than k
@@ -121,8 +124,8 @@ def classes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return named
 
 
-def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int, few: int) -> DataFrame:
-    """(key, who, class, n, frequent, plain): keys of two classes or more; who: a hash of the key's classes; plain: in the prefix proper."""
+def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int) -> DataFrame:
+    """(key, class, n, held): keys of two classes or more; held: classes that have the key."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -131,7 +134,6 @@ def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int, fe
         def flush() -> pa.RecordBatch:
             keys = np.concatenate([h[1] for h in held])
             each = [np.repeat(np.array([h[i] for h in held]), [len(h[1]) for h in held]) for i in (0, 2)]
-            plain = np.concatenate([np.arange(len(h[1])) < h[3] for h in held])
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -139,8 +141,8 @@ def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int, fe
             for b in range(buckets):
                 at = order[cut[b] : cut[b + 1]]
                 if len(at):
-                    rows.append({"bucket": b, "keys": keys[at].tobytes(), "classes": each[0][at].tobytes(), "ns": each[1][at].astype(np.int32).tobytes(), "plain": np.packbits(plain[at]).tobytes()})
-            return pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("keys", "classes", "ns", "plain"))]))
+                    rows.append({"bucket": b, "keys": keys[at].tobytes(), "classes": each[0][at].tobytes(), "ns": each[1][at].astype(np.int32).tobytes()})
+            return pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("keys", "classes", "ns"))]))
 
         done: set[int] = set()
         for batch in batches:
@@ -152,8 +154,8 @@ def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int, fe
                 if name in done:
                     continue
                 done.add(name)
-                p, e = lengths(n, percent)
-                held.append((name, hashes[:e], n, p))
+                _, e = lengths(n, percent)
+                held.append((name, hashes[:e].copy(), n))
                 size += e
                 if size >= FLUSH:
                     yield flush()
@@ -165,7 +167,6 @@ def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int, fe
     def group(table: pa.Table) -> pa.Table:
         joined = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
         keys, names, ns = joined("keys", np.uint64), joined("classes", np.int64), joined("ns", np.int32)
-        plain = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y) // 8) for x, y in zip(table.column("plain").to_pylist(), table.column("keys").to_pylist(), strict=True)]).astype(bool)
         order = np.lexsort((names, keys))
         keys, names = keys[order], names[order]
         new = np.ones(len(keys), bool)
@@ -175,12 +176,11 @@ def _keys(docs: DataFrame, k: int, percent: int, text_col: str, buckets: int, fe
         count = np.diff(np.append(start, len(keys)))
         often = np.repeat(count, count)
         keep = often > 1
-        who = np.repeat(np.add.reduceat(mix(names.view(np.uint64)), start), count)[keep] if len(start) else keys
         ns = ns[order].astype(np.int64)
-        return pa.table({"key": keys[keep].view(np.int64), "who": who.view(np.int64), "class": names[keep], "n": ns[keep], "frequent": often[keep] > few, "plain": plain[order][keep]})
+        return pa.table({"key": keys[keep].view(np.int64), "class": names[keep], "n": ns[keep], "held": often[keep]})
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "bucket bigint, keys binary, classes binary, ns binary, plain binary")
-    keys = stored(found.groupBy("bucket").applyInArrow(group, "key bigint, who bigint, class bigint, n bigint, frequent boolean, plain boolean"), "keys")
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "bucket bigint, keys binary, classes binary, ns binary")
+    keys = stored(found.groupBy("bucket").applyInArrow(group, "key bigint, class bigint, n bigint, held bigint"), "keys")
     release(docs.sparkSession)
     return keys
 
@@ -307,6 +307,12 @@ def _star(rows: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("first", "class").alias("a"), F.greatest("first", "class").alias("b")).distinct()
 
 
+def _few(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one key and different components that may link by size. rows: of keys of at most 4 * FEW sets, so each has as many partners at most."""
+    pair = rows.alias("x").join(rows.alias("y"), "key").where("x.component <> y.component and x.class < y.class").where(_fits("x.n", "y.n", percent))
+    return pair.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+
+
 def _firsts(rows: DataFrame, *orders) -> DataFrame:
     """(key, band, first, first_n, first_c): for each order the row that is greatest by it."""
     found = rows.groupBy("key", "band").agg(F.array(*(F.max(F.struct(o.alias("o"), "class", "n", "component")) for o in orders)).alias("f"))
@@ -320,20 +326,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         named = classes(docs, k, id_col, text_col)
         size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BATCH_BYTES + 1)
-        keys = _keys(docs, k, percent, text_col, buckets, few)
-        rare = keys.where("not frequent").select(F.col("who").alias("key"), "class", "n").dropDuplicates(["key", "class"])
+        keys = _keys(docs, k, percent, text_col, buckets)
         maps = named.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
         n = F.col("n")
+        # The keys of linked sets have 1 + keys - prefix in common, of the smaller one. So of its keys, the rarest first, each
+        # needs only as many as leave fewer over; those that no other set has are the rarest, and need not be met.
         common = F.ceil(n * percent / 100)  # the least partner's size
         prefix = lambda x: x - F.ceil(x * percent / 100) + 1
-        spare = F.least(common, prefix(common) + F.floor(prefix(common) / 4) + 1) - prefix(common)
-        held = F.least(n, prefix(n) + F.floor(prefix(n) / 4) + 1)
-        often = keys.where("frequent")
-        laden = often.groupBy("class").agg(F.count("*").alias("h"), F.max("n").alias("n")).where(F.col("h") > spare).select("class")
-        often = often.where("plain").join(laden, "class", "left_semi").select("key", "class", "n")
-        # What near copies were made from has the most keys in common with others: it comes first.
-        shared = keys.groupBy("class").agg((F.count("*") / F.max(held)).alias("shared"))
-        met = stored(rare.union(often).join(shared, "class").withColumn("band", F.floor(F.log(n) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("bigint")), "met")
+        keys_of = lambda x: F.least(x, prefix(x) + F.floor(prefix(x) / 4) + 1)
+        spare = keys_of(common) - prefix(common)
+        ranked = keys.withColumn("rank", F.expr("row_number() over (partition by class order by held desc, key)")).where(F.col("rank") > spare)
+        total = keys.groupBy("class").agg((F.count("*") / F.max(keys_of(n))).alias("shared"))
+        met = ranked.join(total, "class").withColumn("band", F.floor(F.log(n) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("bigint"))
+        met = stored(met.select("key", "class", "n", "shared", "band"), "met")
         alone = met.withColumn("component", F.col("class"))
         star = _star(alone, _firsts(alone, F.col("shared")), percent)
         links = _linked(_bounded(star, maps, percent), docs, named, k, percent, id_col, text_col)
@@ -357,7 +362,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         release(spark)
         rows = stored(owned.join(mixed.select("key"), "key", "left_semi"), "mixed")
         if not rows.isEmpty():
-            links = links.union(_linked(_tiled(rows.join(maps.drop("n"), "class"), percent, tile), docs, named, k, percent, id_col, text_col))
+            small = rows.join(mixed.where(F.col("rows") <= 4 * few).select("key"), "key")
+            large = rows.join(mixed.where(F.col("rows") > 4 * few).select("key"), "key").join(maps.drop("n"), "class")
+            pairs = _bounded(stored(_few(small, percent), "few"), maps, percent).union(_tiled(large, percent, tile)).distinct()
+            links = links.union(_linked(pairs, docs, named, k, percent, id_col, text_col))
             found = components(links)
         grouped = named.select("id", "n", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         filled = grouped.where("n > 0")
