@@ -121,6 +121,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
                 out.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(code.decode(ids)).hexdigest()) if digests else (ids, code.offsets(ids)))
             made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+        code.known = {}  # the worker lives on
 
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds.values(), strict=True))])
     return df.mapInArrow(run, schema)
