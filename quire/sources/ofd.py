@@ -156,7 +156,7 @@ def picture(data: bytes) -> bytes | None:
 
 def read(path: str, data: bytes, parts: tuple[str, ...] = PARTS) -> dict:
     """One package as a row of SCHEMA; parts not asked for are null."""
-    row: dict = {"path": path, "size_bytes": len(data)}
+    row: dict = {"path": path, "size_bytes": len(data), "error": None}
     try:
         package = Package(data)
     except PackageFault as e:

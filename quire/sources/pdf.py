@@ -524,7 +524,7 @@ def _json(value) -> str:
 
 def read(path: str, data: bytes, parts: tuple[str, ...] = PARTS) -> dict:
     """One file as a row of SCHEMA; parts not asked for are null."""
-    row: dict = {"path": path, "size_bytes": len(data)}
+    row: dict = {"path": path, "size_bytes": len(data), "error": None}
     try:
         pdf = PdfFile(data)
         row |= {"header_version": pdf.header_version, "startxref": pdf.startxref, "features": pdf.features(), "encrypt": pdf.encrypt(), "info": pdf.info()}
