@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import chunks, components, dropped, mix, release, scratch, stored, utf8, words
 
-FEW, TILE, FLUSH, BATCH_BYTES, BROADCAST_IDS, ROUNDS, FIRSTS = 16, 2048, 1 << 20, 16 << 20, 500_000, 6, 16
+FEW, TILE, FLUSH, PAIRS, BATCH_BYTES, BROADCAST_IDS, ROUNDS, FIRSTS = 16, 1024, 1 << 20, 1 << 16, 16 << 20, 500_000, 6, 16
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -86,10 +86,9 @@ def folded(bitmaps: list[bytes], size: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def passing(n: np.ndarray, maps: list[bytes], component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a row in left and one in right, of different components, that may link by size and bit counts."""
+def passing(n: np.ndarray, maps: list[bytes], component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row in left and one in right, of different components, that may link by size and bit counts; a row of left at a time."""
     rows = folded(maps, min(len(x) for x in maps))
-    found: tuple[list, list] = ([], [])
     for i in left.tolist():
         j = right[(component[right] != component[i])]
         low, high = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
@@ -100,9 +99,8 @@ def passing(n: np.ndarray, maps: list[bytes], component: np.ndarray, left: np.nd
         others = np.bitwise_count(rows[j] & ~rows[i]).sum(axis=1, dtype=np.int64)
         bound = np.minimum(n[i] - alone, n[j] - others)
         j = j[100 * bound >= percent * (n[i] + n[j] - bound)]
-        found[0].extend([i] * len(j))
-        found[1].extend(j.tolist())
-    return np.array(found[0], np.int64), np.array(found[1], np.int64)
+        if len(j):
+            yield np.full(len(j), i), j
 
 
 def classes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -241,7 +239,7 @@ def _bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
-                keep.append(len(passing(np.array([n, m]), [x, y], np.arange(2), np.array([0]), np.array([1]), percent)[0]) > 0)
+                keep.append(next(passing(np.array([n, m]), [x, y], np.arange(2), np.array([0]), np.array([1]), percent), None) is not None)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(maps.toDF("b", "m", "y"), "b").join(maps.toDF("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y")
@@ -262,6 +260,12 @@ def _tiled(rows: DataFrame, percent: int, tile: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         place = ["key", "band", "i", "j"]
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            pairs = np.unique(np.stack([np.concatenate([w[k] for w in waiting]) for k in (0, 1)], axis=1), axis=0)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
         def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
             ids = [table.column(c).to_numpy() for c in place]
@@ -277,12 +281,14 @@ def _tiled(rows: DataFrame, percent: int, tile: int) -> DataFrame:
                 at = np.arange(s, e)
                 left = at[home[s:e] & (side[s:e] == i)] - s
                 right = at[side[s:e] == j] - s
-                pairs = [passing(n[s:e], maps[s:e], comp[s:e], left, right, percent)]
-                if i != j:
-                    pairs.append(passing(n[s:e], maps[s:e], comp[s:e], at[home[s:e] & (side[s:e] == j)] - s, at[side[s:e] == i] - s, percent))
-                x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-                a, b = np.minimum(name[s + x], name[s + y]), np.maximum(name[s + x], name[s + y])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+                sides = [(left, right)] if i == j else [(left, right), (at[home[s:e] & (side[s:e] == j)] - s, at[side[s:e] == i] - s)]
+                for one, other in sides:
+                    for x, y in passing(n[s:e], maps[s:e], comp[s:e], one, other, percent):
+                        waiting.append((np.minimum(name[s + x], name[s + y]), np.maximum(name[s + x], name[s + y])))
+                        if sum(len(w[0]) for w in waiting) > PAIRS:
+                            yield flush()
+            if waiting:
+                yield flush()
 
         for batch in batches:
             if batch.num_rows:
