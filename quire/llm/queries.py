@@ -67,4 +67,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_media_columns, op3_url_filters, op4_jaccard_join, op5_bpe, op6_quality_classifier, op7_license_scan, op8_lm_scoring, op9_language_id, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_jaccard_join": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM split),
+each AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM common JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * n >= 85 * (len(a.s) + len(b.s) - n)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id AS root, doc_id AS node FROM documents UNION SELECT root, y FROM reached JOIN both_ways ON node = x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(node) FROM reached WHERE root = doc_id) AS component_id FROM sets
+"""
+}
