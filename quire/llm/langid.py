@@ -36,7 +36,7 @@ SAMPLE_DOCS, SAMPLE_SYMBOLS, LANGUAGES = 200, 40_000, 64
 class Model:
     languages: list[str]
     symbols: np.ndarray  # code point -> symbol
-    tables: list[np.ndarray]  # state * ALPHABET + symbol -> next state * 2 + (1 if a phrase ended)
+    tables: list[np.ndarray]  # state * ALPHABET + symbol -> next state * 2 + (1 if a phrase starts)
 
 
 def symbol_table(texts: list[str]) -> np.ndarray:
@@ -82,7 +82,7 @@ def automaton(symbols: np.ndarray) -> np.ndarray:
         root[c] = to * 2 + 1
     root[ALPHABET - 1] = 0
     table = np.tile(root, (len(steps), 1))
-    for state, own in enumerate(steps):
+    for state, own in enumerate(steps[1:], 1):  # at the root a phrase starts with any step
         for c, to in own.items():
             table[state, c] = to * 2
     return table.ravel()
@@ -130,13 +130,13 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     steps = [padded[start[: live[t]] + t].astype(np.int32) for t in range(BLOCK) if live[t]]
     for k, table in enumerate(model.tables):
         state = np.zeros(len(start), np.int32)
-        ended = np.zeros(len(start), np.int32)
+        started = np.zeros(len(start), np.int32)
         for column in steps:
             n = len(column)
             at = table[state[:n] * ALPHABET + column]
-            ended[:n] += at & 1
+            started[:n] += at & 1
             state[:n] = at >> 1
-        counts[:, k] = np.bincount(owner, ended + 1, len(texts)).astype(np.int64)
+        counts[:, k] = np.bincount(owner, started, len(texts)).astype(np.int64)
     return counts, letters
 
 
@@ -159,9 +159,8 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """df without text_col left out, and with the predicted language and its score. The tables (under 10 MB a language, LANGUAGES at most) go to the workers as one broadcast."""
-    if clash := sorted({lang_out, score_out} & set(df.columns)):
-        raise ValueError(f"columns {clash} are there already; rename them")
+    """df with the predicted language and its score, which replace columns of their names. The tables (under 10 MB a language, LANGUAGES at most) go to the workers as one broadcast."""
+    df = df.drop(lang_out, score_out)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,8 +111,7 @@ def test_media(spark):
     stored = media.store(spark.createDataFrame(rows, DOCS))
     columns = media.media_columns(stored).where("doc_id = 4").first()
     assert columns.media_codec == "raw " and columns.media_duration == columns.media_n_samples * 576 and len(columns.media_key_ranges) == -(-columns.media_n_samples // 16)
-    with pytest.raises(ValueError, match="there already"):
-        media.store(stored)
+    assert media.store(stored).columns == stored.columns
 
 
 def test_media_of_broken_containers(spark):
@@ -418,3 +417,15 @@ def test_decontamination(spark):
     docs = spark.createDataFrame(rows, DOCS)
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(docs, none).collect() == [] and decontam.clean(docs, none).count() == len(rows)
+
+
+def test_columns_of_new_names_are_replaced(spark, vocabulary):
+    docs = spark.createDataFrame([(1, "the text", "x", "y", 3.0, "z"), (None, None, None, None, None, None)], "doc_id long, text string, lang_pred string, _kept string, score double, a_b string")
+    model = langid.train({"en": ["the text of it"], "de": ["der und die"]})
+    got = langid.predict(docs, model).where("doc_id = 1").first()
+    assert got.lang_pred == "en" and got.score != 3.0 and got.a_b == "z"
+    assert quality.score(docs, quality.fit([], np.zeros((0, 12)), np.zeros(0))).where("doc_id = 1").first().score == 0.5
+    assert {r._kept for r in suffix.dedup(docs).collect()} == {"the text", ""}
+    assert bpe.encode(docs.withColumnRenamed("lang_pred", "bpe_ids"), *vocabulary).where("doc_id = 1").first().bpe_ids[0] >= 0
+    with pytest.raises(ValueError, match="at once"):
+        bpe.encode(docs.withColumnRenamed("text", "bpe_ids"), *vocabulary, text_col="bpe_ids")
