@@ -6,7 +6,7 @@ token's rank, so the lowest rank merges first. Text is cut by the pattern; each
 to the library once, in batches, and repeated pieces are looked up. Decoding turns ids into characters, reverses
 the byte table and joins the bytes of a text before any character is read, so a character split over tokens comes back whole.
 
-Null and empty texts have no tokens. Repeated rows give equal rows; other columns pass through.
+Null and empty texts have no tokens. Repeated rows give equal rows; other columns pass through, but for those that have a new column's name: it replaces them.
 """
 
 from __future__ import annotations
@@ -91,10 +91,11 @@ def coder(ranks: bytes, pattern: str) -> Coder:
     return _coders[key]
 
 
-def _free(df: DataFrame, names: list[str]) -> list[str]:
-    if clash := sorted(set(df.columns) & set(names)):
-        raise ValueError(f"columns {clash} are there already; rename them or choose another prefix")
-    return names
+def _named(df: DataFrame, names: list[str], source: str) -> DataFrame:
+    """df without columns of these names, which the new ones replace."""
+    if source in names:
+        raise ValueError(f"{source} cannot be read and written at once")
+    return df.drop(*names)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", prefix: str = "bpe_", digests: bool = False) -> DataFrame:
@@ -109,7 +110,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     with open(ranks_path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
     kinds = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digests else {"ids": T.ArrayType(T.IntegerType()), "offsets": T.ArrayType(T.IntegerType())}
-    names = _free(df, [prefix + k for k in kinds])
+    names = [prefix + k for k in kinds]
+    df = _named(df, names, text_col)
     types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "bpe_ids
     """df with the text of ids_col in out_col; bytes that are no UTF-8, as of ids cut off within a character, become U+FFFD. Null ids give null."""
     with open(ranks_path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    _free(df, [out_col])
+    df = _named(df, [out_col], ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(ranks.value, pattern)

@@ -167,8 +167,7 @@ def feature(track: Track) -> str:
 
 def _mapped(df: DataFrame, columns: list[str], source: str, made: list[tuple[str, str, pa.DataType]], row) -> DataFrame:
     names = [n for n, _, _ in made]
-    if clash := sorted(set(columns) & set(names)):
-        raise ValueError(f"columns {clash} are there already; rename them")
+    columns = [c for c in columns if c not in names]  # new columns replace those of their names
     raw = df.schema[source].dataType.typeName() == "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

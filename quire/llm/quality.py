@@ -148,9 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(df: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score", threshold: float = 0.3, predicted_col: str = "predicted") -> DataFrame:
-    """df with score_col double and predicted_col int, 1 from threshold on."""
-    if clash := sorted({score_col, predicted_col} & set(df.columns)):
-        raise ValueError(f"columns {clash} are there already; rename them")
+    """df with score_col double and predicted_col int, 1 from threshold on; they replace columns of their names."""
+    df = df.drop(score_col, predicted_col)
     sent = df.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -320,7 +320,7 @@ def _marked(docs: DataFrame, columns: list[str], made: str, row: Callable, lengt
     """columns of docs and what row(text, mask or None) makes of each."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     who = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rest = F.struct(*columns) if columns else F.struct(F.lit(1).alias("_"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(1).alias("_"))
     rows = docs.select(F.xxhash64(who, text).alias("r1"), F.xxhash64(text, F.lit("rows")).alias("r2"), text.alias("text"), rest.alias("rest"))
     with scratch(docs.sparkSession) as kept:
         marks = kept(_verdicts(rows.select("r1", "r2", "text"), length, kgram, hot))
@@ -356,9 +356,9 @@ def digests(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot: int
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", out_col: str = "_kept") -> DataFrame:
-    """docs, each row with its remaining text in out_col; of characters that are cut in two nothing is left."""
+    """docs, each row with its remaining text in out_col, which replaces a column of that name; of characters that are cut in two nothing is left."""
 
     def row(text: bytes, mask: np.ndarray | None):
         return (text.decode(errors="replace") if mask is None else np.frombuffer(text, np.uint8)[~mask].tobytes().decode(errors="ignore"),)
 
-    return _marked(docs, docs.columns, f"{out_col} string", row, length, kgram, hot, id_col, text_col)
+    return _marked(docs, [c for c in docs.columns if c != out_col], f"{out_col} string", row, length, kgram, hot, id_col, text_col)
