@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import chunks, components, dropped, mix, release, scratch, stored, utf8, words
 
-FEW, TILE, FLUSH, PAIRS, BATCH_BYTES, BROADCAST_IDS, ROUNDS, FIRSTS = 16, 1024, 1 << 20, 1 << 16, 16 << 20, 500_000, 6, 16
+FEW, TILE, FLUSH, PAIRS, BATCH_BYTES, BROADCAST_IDS, ROUNDS, FIRSTS = 16, 1024, 1 << 20, 1 << 16, 16 << 20, 500_000, 6, 8
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -71,8 +71,8 @@ def lengths(n: int, percent: int) -> tuple[int, int]:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A power of two of bits, at least four times as many as hashes, and 64: few of another set's elements hide behind it."""
-    bits = max(64, 4 << (max(1, len(hashes)) - 1).bit_length())
+    """A power of two of bits, at least eight times as many as hashes, and 64: few of another set's elements hide behind it."""
+    bits = max(64, 8 << (max(1, len(hashes)) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(hashes >> np.uint64(40)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -362,7 +362,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             firsts = _firsts(rows, *(F.xxhash64("class", F.lit(turn * FIRSTS + i)) for i in range(FIRSTS)))
             star = stored(_bounded(_star(rows, firsts, percent), maps, percent), "star")
             new = _linked(star, docs, named, k, percent, id_col, text_col)
-            linking = 4 * new.count() > star.count()
+            linking = 8 * new.count() > star.count()
             links = stored(links.union(new), "links")
             found = components(links)
         release(spark)
