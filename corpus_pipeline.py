@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontam, jaccard, langid, suffix
-from quire.llm.common import crc32_bucket, stored
+from quire.llm.common import crc32_bucket, small_batches, stored
 from quire.llm.queries import VOCABULARY
 
 #: What a row is: rows of one id and one text are copies.
@@ -18,6 +18,7 @@ _ROW = "_pipeline_row"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that have a language: all with a letter. Null and letterless texts go. Learns as op9 does, from docs."""
+    small_batches(spark)
     model = langid.learn(docs.where(~langid.held_out(crc32_bucket(F.col("doc_id"), 4))))
     judged = langid.predict(docs, model, lang_out="_pipeline_lang", score_out="_pipeline_score")
     return judged.where("_pipeline_lang <> 'und'").select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -25,6 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents (five words, 0.8) the one with the least id; of rows of one id and one text a single one. Documents without words stay."""
+    small_batches(spark)
     found = stored(jaccard.near_duplicates(docs, k=5, percent=80), "found")
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_pipeline_id")).distinct()
     if gone.count() <= jaccard.BROADCAST_IDS:
@@ -38,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte of a passage of 400 bytes or more that stands more than once goes; n_chars follows the text. All rows stay, an emptied one with an empty text; null stays null."""
+    small_batches(spark)
     kept = suffix.dedup(docs, out_col="_pipeline_kept")
     new = {"text": F.when(F.col("text").isNull(), None).otherwise(F.col("_pipeline_kept")), "n_chars": F.length("_pipeline_kept").cast("bigint")}
     return kept.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
@@ -45,11 +48,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, within the error budget, go."""
+    small_batches(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document."""
+    small_batches(spark)
     import public_tokenizers
 
     return bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, prefix="", digests=True).drop("text")
