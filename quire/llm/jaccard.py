@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import chunks, components, dropped, mix, release, scratch, stored, utf8, words
 
-FEW, TILE, FLUSH, PAIRS, BATCH_BYTES, BROADCAST_IDS, ROUNDS, FIRSTS = 16, 1024, 1 << 20, 1 << 16, 16 << 20, 500_000, 6, 8
+FEW, TILE, FLUSH, PAIRS, BATCH_BYTES, BROADCAST_IDS, ROUNDS, FIRSTS = 16, 1024, 1 << 20, 1 << 16, 16 << 20, 500_000, 4, 8
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -362,7 +362,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             firsts = _firsts(rows, *(F.xxhash64("class", F.lit(turn * FIRSTS + i)) for i in range(FIRSTS)))
             star = stored(_bounded(_star(rows, firsts, percent), maps, percent), "star")
             new = _linked(star, docs, named, k, percent, id_col, text_col)
-            linking = 8 * new.count() > star.count()
+            linking = 4 * new.count() > star.count()
             links = stored(links.union(new), "links")
             found = components(links)
         release(spark)
