@@ -10,6 +10,8 @@ A key of more than HOT spans is not gathered: its windows are counted one by one
 
 Null text is empty, and texts shorter than LENGTH keep everything. Rows of equal id and text count as often as they stand.
 Spans are compared by 128 bits of hash.
+
+Texts can also be sequences of words (``[^\\x20\\x09-\\x0D]+``) instead of bytes: a unit is then the word's 64-bit hash, and lengths and positions count words.
 """
 
 from __future__ import annotations
@@ -22,39 +24,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BYTE_VALUES, chunks, mix, powers, prefix_hashes, release, scratch, span_hashes, stored, utf8
+from quire.llm.common import BYTE_VALUES, SPACE, chunks, mix, powers, prefix_hashes, release, scratch, span_hashes, stored, utf8
 
 LENGTH, KGRAM, HOT = 400, 64, 20_000
+#: Words of an anchor, where texts are sequences of words.
+WORD_KGRAM = 8
+#: Bytes of a unit: of a byte, and of a word's hash.
+BYTE, WORD = 1, 8
 #: Windows of a text that are looked at together; of a longer text, pieces overlap by LENGTH - 1 bytes.
 PIECE = 4 << 20
 #: Contexts that are sorted together, if no group is larger.
 GATHER = 4096
 
 
+def word_units(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, starts, ends) of the words of each text; case counts, spaces do not."""
+    for a, b in chunks(texts):
+        data = np.frombuffer(b" ".join(texts[a:b]) + b" ", np.uint8)
+        edge = np.flatnonzero(np.diff(SPACE[data].view(np.int8), prepend=1))
+        start, end = edge[0::2], edge[1::2]
+        hashes = mix(span_hashes(prefix_hashes(BYTE_VALUES[data]), start, end) ^ (end - start).astype(np.uint64))
+        at = np.cumsum([0, *(len(x) + 1 for x in texts[a:b])])
+        first = np.searchsorted(start, at)
+        for i in range(b - a):
+            own = slice(first[i], first[i + 1])
+            yield hashes[own], start[own] - at[i], end[own] - at[i]
+
+
+def sequences(texts: list[bytes], unit: int) -> list[bytes]:
+    """Texts as they are compared: their bytes, or the hashes of their words."""
+    return texts if unit == BYTE else [hashes.tobytes() for hashes, _, _ in word_units(texts)]
+
+
+def units(data: bytes, unit: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if unit == BYTE else np.uint64)
+
+
+def unit_values(data: np.ndarray, unit: int) -> np.ndarray:
+    return BYTE_VALUES[data] if unit == BYTE else data
+
+
 class Anchors:
-    """The anchors of texts: row, at (anchor), first and last (of its run of windows) as byte positions in the text, key and span."""
+    """The anchors of texts: row, at (anchor), first and last (of its run of windows) as positions in the text, key and span."""
 
-    def __init__(self, texts: list[bytes], length: int, kgram: int):
+    def __init__(self, texts: list[bytes], length: int, kgram: int, unit: int = BYTE):
         parts = []
         for a, b in chunks(texts):
-            if len(texts[a]) > PIECE + length:  # alone in its range
+            if len(texts[a]) // unit > PIECE + length:  # alone in its range
                 whole = texts[a]
-                for at in range(0, len(whole) - length + 1, PIECE):
-                    parts.append(self._of([whole[at : at + PIECE + length - 1]], a, at, length, kgram))
+                for at in range(0, len(whole) // unit - length + 1, PIECE):
+                    parts.append(self._of([whole[at * unit : (at + PIECE + length - 1) * unit]], a, at, length, kgram, unit))
             else:
-                parts.append(self._of(texts[a:b], a, 0, length, kgram))
+                parts.append(self._of(texts[a:b], a, 0, length, kgram, unit))
         self.row, self.at, self.first, self.last, self.key, self.span = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [[]] * 6))
 
     @staticmethod
-    def _of(texts: list[bytes], row: int, offset: int, length: int, kgram: int) -> tuple[np.ndarray, ...]:
+    def _of(texts: list[bytes], row: int, offset: int, length: int, kgram: int, unit: int) -> tuple[np.ndarray, ...]:
         none = np.zeros(0, np.int64)
-        sizes = np.array([len(t) for t in texts])
+        sizes = np.array([len(t) // unit for t in texts])
         if (sizes < length).all():
             return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        data = units(b"".join(texts), unit)
         end = np.cumsum(sizes)
         begin = end - sizes
-        values = BYTE_VALUES[data]
+        values = unit_values(data, unit)
         near, far = prefix_hashes(values), prefix_hashes(values, 1)
         n, width = len(data) - kgram + 1, length - kgram + 1
         grams = mix((near[kgram:] - near[:-kgram]) * powers(n, 0, True))
@@ -77,13 +110,13 @@ class Anchors:
 class Contexts:
     """Texts around anchors in groups: order by mergesort of suffixes, by hashes."""
 
-    def __init__(self, group: np.ndarray, texts: list[bytes], before: np.ndarray):
-        self.group, self.data = group, b"".join(texts)
-        sizes = np.array([len(t) for t in texts])
+    def __init__(self, group: np.ndarray, texts: list[bytes], before: np.ndarray, unit: int = BYTE):
+        self.group, self.data, self.unit = group, b"".join(texts), unit
+        sizes = np.array([len(t) // unit for t in texts])
         begin = np.cumsum(sizes) - sizes
         self.at, self.before, self.after = begin + before, before, sizes - before
-        self.bytes = np.frombuffer(self.data, np.uint8)
-        self.prefix = prefix_hashes(BYTE_VALUES[self.bytes])
+        self.units = units(self.data, unit)
+        self.prefix = prefix_hashes(unit_values(self.units, unit))
         self.inverse = powers(len(self.prefix), 0, True)
 
     def common(self, i: np.ndarray, j: np.ndarray, back: bool) -> np.ndarray:
@@ -103,7 +136,7 @@ class Contexts:
         n = self.common(i, j, back)
         ended = n >= np.minimum(reach[i], reach[j])
         step = -1 - n if back else n
-        x, y = (self.bytes[np.clip(self.at[k] + step, 0, len(self.bytes) - 1)] for k in (i, j))
+        x, y = (self.units[np.clip(self.at[k] + step, 0, len(self.units) - 1)] for k in (i, j))
         return np.where(ended, (reach[i] < reach[j]) | (reach[i] == reach[j]) & (i < j), x < y)
 
     def order(self, back: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -136,14 +169,14 @@ class Contexts:
             return self.by_bytes(back)
         return order, common
 
-    def suffix(self, i: int, back: bool) -> bytes:
+    def suffix(self, i: int, back: bool) -> list[int]:
         at = self.at[i]
-        return self.data[at - self.before[i] : at][::-1] if back else self.data[at : at + self.after[i]]
+        return (self.units[at - self.before[i] : at][::-1] if back else self.units[at : at + self.after[i]]).tolist()
 
     def verified(self, order: np.ndarray, common: np.ndarray, inner: np.ndarray, back: bool) -> bool:
         """Whether the bytes of all common extensions are equal; false after a collision of hashes."""
-        at, data = self.at, self.data
-        for a, b, n in zip(at[order[inner - 1]].tolist(), at[order[inner]].tolist(), common[inner].tolist(), strict=True):
+        at, data = self.at * self.unit, self.data
+        for a, b, n in zip(at[order[inner - 1]].tolist(), at[order[inner]].tolist(), (common[inner] * self.unit).tolist(), strict=True):
             if (data[a - n : a] != data[b - n : b]) if back else (data[a : a + n] != data[b : b + n]):
                 return False
         return True
@@ -160,9 +193,9 @@ class Contexts:
         return np.array(order), np.array(common)
 
 
-def repeated(group: np.ndarray, texts: list[bytes], most: np.ndarray, least: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """For each context the ranges of l, first and last, for which its window of length bytes from l before the anchor equals another's of its group. Groups are sorted; most and least: the range of l that is its own."""
-    contexts = Contexts(group, texts, most)
+def repeated(group: np.ndarray, texts: list[bytes], most: np.ndarray, least: np.ndarray, length: int, unit: int = BYTE) -> list[list[tuple[int, int]]]:
+    """For each context the ranges of l, first and last, for which its window of length units from l before the anchor equals another's of its group. Groups are sorted; most and least: the range of l that is its own."""
+    contexts = Contexts(group, texts, most, unit)
     n = len(texts)
     sides = []
     for back in (False, True):
@@ -190,14 +223,14 @@ def repeated(group: np.ndarray, texts: list[bytes], most: np.ndarray, least: np.
     return out
 
 
-def _verdicts(docs: DataFrame, length: int, kgram: int, hot: int) -> DataFrame:
+def _verdicts(docs: DataFrame, length: int, kgram: int, hot: int, unit: int) -> DataFrame:
     """(r1, r2, marks: array of key, span, ranges - null if all windows are repeated). docs: r1, r2, text."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Anchors(utf8(batch.column("text")), length, kgram)
+            found = Anchors(sequences(utf8(batch.column("text")), unit), length, kgram, unit)
             order = np.lexsort((found.span, found.key, found.row))
             row, key, span = found.row[order], found.key[order], found.span[order]
             new = np.ones(len(row), bool)
@@ -218,8 +251,8 @@ def _verdicts(docs: DataFrame, length: int, kgram: int, hot: int) -> DataFrame:
         for batch in batches:
             texts = utf8(batch.column("text"))
             for a in range(0, len(texts), 256):
-                some = texts[a : a + 256]
-                found = Anchors(some, length, kgram)
+                some = sequences(texts[a : a + 256], unit)
+                found = Anchors(some, length, kgram, unit)
                 wants = batch.column("wanted").slice(a, 256).to_pylist()
                 begin = np.searchsorted(found.row, np.arange(len(some) + 1))
                 out: dict[str, list] = {c: [] for c in ("key", "span", "n", "spans", "most", "least", "around")}
@@ -237,7 +270,7 @@ def _verdicts(docs: DataFrame, length: int, kgram: int, hot: int) -> DataFrame:
                             out[c].append(w[c])
                         out["most"].append(int(found.at[k] - found.first[k]))
                         out["least"].append(int(found.at[k] - found.last[k]))
-                        out["around"].append(text[found.first[k] : found.last[k] + length])
+                        out["around"].append(text[found.first[k] * unit : (found.last[k] + length) * unit])
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in ("key", "span", "n", "spans", "most", "least")] + [("around", pa.binary())]))
 
     schema = "key bigint, span bigint, n bigint, spans bigint, most bigint, least bigint, around binary"
@@ -252,7 +285,7 @@ def _verdicts(docs: DataFrame, length: int, kgram: int, hot: int) -> DataFrame:
             new[1:] = (keys[1:] != keys[:-1]) | (spans_[1:] != spans_[:-1])  # repeated rows give a span twice
             table = table.filter(pa.array(new))
             keys, spans_, n, most, least = (table.column(c).to_numpy() for c in ("key", "span", "n", "most", "least"))
-            ranges = repeated(np.cumsum(np.diff(keys, prepend=keys[0]) != 0), table.column("around").to_pylist(), most, least, length)
+            ranges = repeated(np.cumsum(np.diff(keys, prepend=keys[0]) != 0), table.column("around").to_pylist(), most, least, length, unit)
             keep = [i for i, (r, c) in enumerate(zip(ranges, n, strict=True)) if r and c == 1]
             return pa.RecordBatch.from_pydict({"key": keys[keep], "span": spans_[keep], "ranges": pa.array([[{"a": a, "b": b} for a, b in ranges[i]] for i in keep], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))})
 
@@ -275,7 +308,7 @@ def _verdicts(docs: DataFrame, length: int, kgram: int, hot: int) -> DataFrame:
     if False in sizes:
         marks.append(contexts.where(F.col("spans") <= hot).repartition(parts, "key").sortWithinPartitions("key", "span").mapInArrow(sort, ranged))
     if True in sizes:
-        marks.append(_counted(contexts.where(F.col("spans") > hot).dropDuplicates(["key", "span"]), length))
+        marks.append(_counted(contexts.where(F.col("spans") > hot).dropDuplicates(["key", "span"]), length, unit))
     found = marks[0]
     for m in marks[1:]:
         found = found.unionAll(m)
@@ -284,13 +317,13 @@ def _verdicts(docs: DataFrame, length: int, kgram: int, hot: int) -> DataFrame:
     return anchors.join(found, ["key", "span"]).groupBy("r1", "r2").agg(F.collect_list(F.struct("key", "span", "ranges")).alias("marks"))
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
+def _counted(contexts: DataFrame, length: int, unit: int) -> DataFrame:
     """(key, span, ranges) of spans seen once, by counting every window; for keys of too many spans for one task."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, span, n, most, least, text in zip(*(batch.column(c).to_pylist() for c in ("key", "span", "n", "most", "least", "around")), strict=True):
-                values = BYTE_VALUES[np.frombuffer(text, np.uint8)]
+                values = unit_values(units(text, unit), unit)
                 start = np.arange(most - least + 1)
                 l = most - start
                 hashes = [mix(span_hashes(prefix_hashes(values, b), start, start + length, b) ^ mix(l.astype(np.uint64) + np.uint64(b))).view(np.int64) for b in (0, 1)]
@@ -301,10 +334,10 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
     return each.where("n = 1").join(often, ["key", "h1", "h2"]).groupBy("key", "span").agg(F.collect_list(F.struct(F.col("l").alias("a"), F.col("l").alias("b"))).alias("ranges"))
 
 
-def removed(text: bytes, marks: list[dict], length: int, kgram: int) -> np.ndarray:
-    """Mask of the bytes that go."""
-    found = Anchors([text], length, kgram)
-    edge = np.zeros(len(text) + 1, np.int64)
+def removed(text: bytes, marks: list[dict], length: int, kgram: int, unit: int = BYTE) -> np.ndarray:
+    """Mask of the units that go."""
+    found = Anchors([text], length, kgram, unit)
+    edge = np.zeros(len(text) // unit + 1, np.int64)
     by = {(m["key"] & 0xFFFFFFFFFFFFFFFF, m["span"] & 0xFFFFFFFFFFFFFFFF): m["ranges"] for m in marks}
     for key, span, at, first, last in zip(found.key.tolist(), found.span.tolist(), found.at.tolist(), found.first.tolist(), found.last.tolist(), strict=True):
         if (key, span) not in by:
@@ -316,15 +349,29 @@ def removed(text: bytes, marks: list[dict], length: int, kgram: int) -> np.ndarr
     return np.cumsum(edge)[:-1] > 0
 
 
-def _marked(docs: DataFrame, columns: list[str], made: str, row: Callable, length: int, kgram: int, hot: int, id_col: str, text_col: str) -> DataFrame:
-    """columns of docs and what row(text, mask or None) makes of each."""
+def removed_words(text: bytes, marks: list[dict], words: int) -> np.ndarray:
+    """Mask of the bytes of the words that go, and of the spaces between them."""
+    hashes, start, end = next(word_units([text]))
+    gone = np.diff(removed(hashes.tobytes(), marks, words, min(words, WORD_KGRAM), WORD).view(np.int8), prepend=0, append=0)
+    mask = np.zeros(len(text), bool)
+    for a, b in zip(np.flatnonzero(gone == 1).tolist(), np.flatnonzero(gone == -1).tolist(), strict=True):
+        mask[start[a] : end[b - 1]] = True
+    return mask
+
+
+def _marked(docs: DataFrame, columns: list[str], made: str, row: Callable, length: int, kgram: int, hot: int, id_col: str, text_col: str, words: int = 0) -> DataFrame:
+    """columns of docs and what row(text, mask or None) makes of each. words: least words of a passage that goes whatever its length; 0: none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     who = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rest = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(1).alias("_"))
     rows = docs.select(F.xxhash64(who, text).alias("r1"), F.xxhash64(text, F.lit("rows")).alias("r2"), text.alias("text"), rest.alias("rest"))
     with scratch(docs.sparkSession) as kept:
-        marks = kept(_verdicts(rows.select("r1", "r2", "text"), length, kgram, hot))
-    joined = rows.join(marks, ["r1", "r2"], "left").select("rest", "text", "marks")
+        marks = kept(_verdicts(rows.select("r1", "r2", "text"), length, kgram, hot, BYTE))
+    if words:
+        with scratch(docs.sparkSession) as kept:
+            more = kept(_verdicts(rows.select("r1", "r2", "text"), words, min(words, WORD_KGRAM), hot, WORD).withColumnRenamed("marks", "word_marks"))
+        marks = marks.join(more, ["r1", "r2"], "full")
+    joined = rows.join(marks, ["r1", "r2"], "left").select("rest", "text", "marks", *(["word_marks"] if words else []))
     fields = [docs.schema[c] for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +380,12 @@ def _marked(docs: DataFrame, columns: list[str], made: str, row: Callable, lengt
             out = []
             for i, t in enumerate(texts):
                 own = batch.column("marks")[i].as_py()
-                out.append(row(t, removed(t, own, length, kgram) if own else None))
+                mask = removed(t, own, length, kgram) if own else None
+                own = batch.column("word_marks")[i].as_py() if words else None
+                if own:
+                    more = removed_words(t, own, words)
+                    mask = more if mask is None else mask | more
+                out.append(row(t, mask))
             parts = [pa.array(list(x)) for x in zip(*out, strict=True)] if out else []
             if not out:
                 continue
@@ -355,10 +407,11 @@ def digests(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot: int
     return _marked(docs, [id_col], "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", row, length, kgram, hot, id_col, text_col)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", out_col: str = "_kept") -> DataFrame:
-    """docs, each row with its remaining text in out_col, which replaces a column of that name; of characters that are cut in two nothing is left."""
+def dedup(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", out_col: str = "_kept", words: int = 0) -> DataFrame:
+    """docs, each row with its remaining text in out_col, which replaces a column of that name; of characters that are cut in two nothing is left.
+    words: a passage of so many words that stands more than once goes too, however few its bytes; 0: bytes alone count."""
 
     def row(text: bytes, mask: np.ndarray | None):
         return (text.decode(errors="replace") if mask is None else np.frombuffer(text, np.uint8)[~mask].tobytes().decode(errors="ignore"),)
 
-    return _marked(docs, [c for c in docs.columns if c != out_col], f"{out_col} string", row, length, kgram, hot, id_col, text_col)
+    return _marked(docs, [c for c in docs.columns if c != out_col], f"{out_col} string", row, length, kgram, hot, id_col, text_col, words)

@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from quire.llm import decontam
+from quire.llm import decontam, suffix
 from tests.llm.test_operators import linked_plainly
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -73,3 +75,34 @@ def test_stages_keep_columns_and_survive_empty_tables(spark, tmp_path):
             assert docs.columns == [c.split()[0] for c in COLUMNS.split(", ")]
         assert docs.count() in (0, 2)
         assert corpus_pipeline.encode(spark, docs, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def without_repeated_words(texts, least):
+    """Texts without the words, and the spaces between them, that least words cover which stand twice."""
+    each = [list(re.finditer(r"[^\x20\x09-\x0D]+", t)) for t in texts]
+    seen = Counter(tuple(m[0] for m in w[i : i + least]) for w in each for i in range(len(w) - least + 1))
+    out = []
+    for t, w in zip(texts, each, strict=True):
+        gone = set()
+        for i in range(len(w) - least + 1):
+            if seen[tuple(m[0] for m in w[i : i + least])] > 1:
+                gone.update(range(w[i].start(), w[i + least - 1].end()))
+        out.append("".join(c for i, c in enumerate(t) if i not in gone))
+    return out
+
+
+def test_passages_of_over_fifty_short_words_go(spark, tmp_path):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghilmnoprstuvé") for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    around = lambda p: f"{prose(120)} !{rng.random()} {p} ?{rng.random()} {prose(90)}"
+    least, fewer, wrapped = prose(51), prose(50), prose(64)
+    assert len(wrapped.encode()) < suffix.LENGTH
+    texts = [around(p) for p in (least, least, fewer, fewer, wrapped, wrapped.replace(" ", "\n"), least + " " + prose(9))] + [None, "", " \n"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in enumerate(texts)], COLUMNS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs, str(tmp_path)).collect()}
+    kept = without_repeated_words([t or "" for t in texts], 51)
+    assert got == {i: None if t is None else kept[i] for i, t in enumerate(texts)}
+    assert [least in (got[i] or "") for i in (0, 1, 6)] == [False] * 3 and fewer in got[2] and fewer in got[3]
+    for hot in (0, 20_000):
+        assert {r.doc_id: r._kept for r in suffix.dedup(docs, hot=hot, words=20).collect()} == dict(enumerate(without_repeated_words([t or "" for t in texts], 20)))
