@@ -1,12 +1,13 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie.
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased, and one end. Unigrams are smoothed by adding 0.1.
-Words of at least SHARE of all training tokens (at most 1 / SHARE of them, so they fit in a broadcast) also have bigrams, by absolute
-discounting: P(w|u) = max(c(u,w) - D, 0) / c(u) + rest(u) * P(w), with rest(u) so that all sums to 1. A text starts after an end.
+Every n-gram of two words up to ORDER counts, of all words and alike at every size; nothing is pruned. Absolute discounting:
+P(w|u) = max(c(u,w) - D, 0) / c(u) + rest(u) * P(w|u without its first word), with rest(u) so that all sums to 1. A text starts after ends.
 
-The corpus is counted and scored by shards, not by one process: batches of documents send each shard the distinct words and pairs they hold,
-a shard sums the counts of all batches, builds its trie and answers every batch; the batch then scores its documents. A batch holds
-BATCH_BYTES of text or so, at any size of the corpus; a hot word or pair is one entry a batch.
+The corpus is counted and scored by shards, not by one process: batches of documents send each shard the distinct words and n-grams they hold,
+those of one context to one shard; a shard sums the counts of all batches, builds its trie and answers every batch in the order it was asked; the
+batch then scores its documents. A batch holds BATCH_BYTES of text or so, at any size of the corpus; a hot word or n-gram is one entry a batch.
+Words, contexts and n-grams are told apart by 64 bits of hash.
 
 A trie has two levels: contexts, and the successors of each. Pointers and successors are monotone sequences in Elias-Fano code, discounted
 probabilities and rests are quantised to bytes; all levels lie in one memory-mapped buffer. A successor is searched for within its context's range.
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import chunks, stored, utf8, words
+from quire.llm.common import chunks, mix, stored, utf8, words
 
-SHARE, DISCOUNT, BATCH_BYTES = 3e-5, 0.75, 16 << 20
+#: SHARE: least share of the training tokens for a word to have n-grams; all words have them.
+SHARE, DISCOUNT, ORDER, BATCH_BYTES = 0.0, 0.75, 3, 4 << 20
 END = np.uint64(0x5851F42D4C957F2D)
+_STEP = np.uint64(0xA0761D6478BD642F)
 
 
 class EliasFano:
@@ -35,11 +38,12 @@ class EliasFano:
 
     def __init__(self, values: np.ndarray, bound: int):
         n = len(values)
-        self.n, self.width = n, max(0, (max(1, bound) // max(1, n)).bit_length() - 1)
+        self.n, self.width = n, min(56, max(0, (max(1, bound) // max(1, n)).bit_length() - 1))
         values = values.astype(np.uint64)
         low = values & np.uint64((1 << self.width) - 1)
-        bits = (low[:, None] >> np.arange(self.width, dtype=np.uint64)) & np.uint64(1)
-        self.low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
+        places = np.arange(self.width, dtype=np.uint64)
+        packed = [np.packbits(((low[i : i + (1 << 16), None] >> places) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for i in range(0, n, 1 << 16)]
+        self.low = np.concatenate([*packed, np.zeros(8, np.uint8)])
         ones = (values >> np.uint64(self.width)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
@@ -56,9 +60,8 @@ class EliasFano:
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         out = (self.ones[at] - at).astype(np.uint64) << np.uint64(self.width)
         first = at.astype(np.int64) * self.width
-        for i in range(self.width):
-            where = first + i
-            out |= ((self.low[where >> 3] >> (where & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(i)
+        eight = np.ndarray(max(0, len(self.low) - 7), "<u8", self.low, strides=(1,))  # eight bytes from each byte
+        out |= (eight[first >> 3] >> (first & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
         return out.astype(np.int64)
 
 
@@ -172,9 +175,56 @@ def _split(keys: np.ndarray, shard: np.ndarray, shards: int) -> Iterator[tuple[i
             yield s, order[cut[s] : cut[s + 1]]
 
 
-def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def ngrams(tokens: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
+    """Hash of the order - 1 tokens before each token; before a text stand ends."""
+    place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
+    out = np.full(len(tokens), order, np.uint64)
+    for back in range(order - 1, 0, -1):
+        before = np.full(len(tokens), END)
+        before[back:] = np.where(place[back:] >= back, tokens[:-back], END)
+        out = mix(out * _STEP + before)
+    return out
+
+
+def distinct(context: np.ndarray, tokens: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct n-gram an index, by shard and context; the n-gram of each index's place; first n-gram of each shard (one more than shards)."""
+    _, index, inverse = np.unique(mix(context ^ mix(tokens)), return_index=True, return_inverse=True)
+    shard = _shard(context[index], shards)
+    order = np.lexsort((tokens[index], context[index], shard))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return index[order], place[inverse], np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _answers(asked: list[tuple[bytes, bytes, bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """(log10 of shares of each n-gram, rest of each context) for what each batch asks: contexts, n-grams of each, words, counts."""
+    runs = [np.frombuffer(a[1], np.uint32) for a in asked]
+    context = np.concatenate([np.repeat(np.frombuffer(a[0], np.uint64), n) for a, n in zip(asked, runs, strict=True)])
+    word = np.concatenate([np.frombuffer(a[2], np.uint64) for a in asked])
+    count = np.concatenate([np.frombuffer(a[3], np.uint32) for a in asked])
+    _, index, inverse = np.unique(mix(context ^ mix(word)), return_index=True, return_inverse=True)
+    count = np.bincount(inverse, count, len(index)).astype(np.int64)
+    names, context = np.unique(context[index], return_inverse=True)
+    words_, word = np.unique(word[index], return_inverse=True)
+    total = np.zeros(max(len(names), len(words_)), np.int64)
+    total[: len(names)] = np.bincount(context, count, len(names)).astype(np.int64)
+    pairs = context * (len(total) + 1) + word
+    order = np.argsort(pairs)
+    share, rest = np.zeros(len(pairs), np.float32), np.ones(len(pairs), np.float32)
+    share[order], rest[order] = Trie(pairs[order], count[order], total).find(pairs[order])
+    with np.errstate(divide="ignore"):
+        share = np.log10(share).astype(np.float16)
+    out, at = [], 0
+    for n in runs:
+        own = inverse[at : at + int(n.sum())]
+        out.append((share[own].tobytes(), rest[own[np.cumsum(n) - n]].tobytes()))
+        at += len(own)
+    return out
+
+
+def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), order: int = 2) -> DataFrame:
     """id_col, the columns of keep, and n_tokens, n_known, train_tokens long, base_score and score double of each row.
-    train: SQL condition of the rows that are learned from (null: not)."""
+    train: SQL condition of the rows that are learned from (null: not); order: words of the longest n-grams."""
     spark = docs.sparkSession
     docs = docs.select(*dict.fromkeys((id_col, *keep)), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(F.expr(train), F.lit(False)).alias("_train"))
     kept = [c for c in docs.columns if c not in ("_text", "_train")]
@@ -202,92 +252,74 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
 
     unigrams = stored(docs.mapInArrow(count, "shard bigint, keys binary, counts binary").groupBy("shard").applyInArrow(total, "shard bigint, keys binary, counts binary, n bigint, v bigint"), "unigrams")
     n, v = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    least = max(2, SHARE * n)
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
-                yield pa.RecordBatch.from_pydict({"key": keys[counts >= least].view(np.int64), "n": counts[counts >= least]})
-
-    words_ = sorted((k & 0xFFFFFFFFFFFFFFFF, c) for k, c in unigrams.select("keys", "counts").mapInArrow(frequent, "key bigint, n bigint").collect()) if n else []
-    sent = spark.sparkContext.broadcast((np.array([k for k, _ in words_], np.uint64), np.array([c for _, c in words_], np.int64)))
-
-    def pairs_of(ids: np.ndarray, end: int, vocabulary: int) -> np.ndarray:
-        """Pair before each token, -1 after a word that has no bigrams; ids: of the tokens, vocabulary stands for other words."""
-        before = np.concatenate([[end], ids[:-1]])
-        return np.where(before < vocabulary, before * (vocabulary + 1) + ids, -1)
-
-    def ids_of(tokens: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-        if not len(vocabulary):
-            return np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(vocabulary, tokens), len(vocabulary) - 1)
-        return np.where(vocabulary[at] == tokens, at, len(vocabulary))
-
-    def pair_shard(pairs: np.ndarray, vocabulary: int) -> np.ndarray:
-        return (pairs // (vocabulary + 1)) % shards
+    def tokens_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        texts, tokens, first, at = utf8(table.column("_text").combine_chunks()), [], [np.zeros(1, np.int64)], 0
+        for a, b in chunks(texts):
+            own, start = token_hashes(texts[a:b])
+            tokens.append(own)
+            first.append(start[1:] + at)
+            at += len(own)
+        return np.concatenate(tokens), np.concatenate(first)
 
     def ask(table: pa.Table) -> pa.Table:
-        vocabulary = sent.value[0]
-        end = int(ids_of(np.array([END]), vocabulary)[0])
-        seen, pairs = Counter(), Counter()
-        texts, learned = utf8(table.column("_text").combine_chunks()), np.array(table.column("_train").to_pylist(), bool)
-        for a, b in chunks(texts):
-            tokens, first = token_hashes(texts[a:b])
-            distinct = np.unique(tokens)
-            seen.add(distinct, np.zeros(len(distinct), np.int64))
-            pair = pairs_of(ids_of(tokens, vocabulary), end, len(vocabulary))
-            trained = np.repeat(learned[a:b], np.diff(first))
-            pairs.add(*_sum(pair[pair >= 0], trained[pair >= 0].astype(np.int64)))
-        keys, _ = seen.settle()
-        found, counts = pairs.settle()
-        out = {s: [s, keys[at].tobytes(), b"", b""] for s, at in _split(keys, _shard(keys, shards), shards)}
-        for s, at in _split(found, pair_shard(found.astype(np.int64), len(vocabulary)), shards):
-            out.setdefault(s, [s, b"", b"", b""])[2:] = [found[at].tobytes(), counts[at].astype(np.uint32).tobytes()]
+        tokens, first = tokens_of(table)
+        trained = np.repeat(np.array(table.column("_train").to_pylist(), bool), np.diff(first))
+        keys = np.unique(tokens)
         batch = table.column("_batch")[0].as_py()
-        return pa.table({"batch": pa.array([batch] * len(out), pa.int64()), **{c: pa.array([x[i] for x in out.values()], k) for i, (c, k) in enumerate((("shard", pa.int64()), ("keys", pa.binary()), ("pairs", pa.binary()), ("counts", pa.binary())))}})
+        out = [(batch, s, 1, keys[at].tobytes(), b"", b"", b"") for s, at in _split(keys, _shard(keys, shards), shards)]
+        for k in range(2, order + 1):
+            context = ngrams(tokens, first, k)
+            index, place, cut = distinct(context, tokens, shards)
+            counts = np.bincount(place, trained, len(index)).astype(np.uint32)
+            for s in range(shards):
+                own = index[cut[s] : cut[s + 1]]
+                if len(own):
+                    start = np.append(np.flatnonzero(np.diff(context[own]) != 0) + 1, len(own))
+                    start = np.append(0, start)
+                    out.append((batch, s, k, context[own[start[:-1]]].tobytes(), np.diff(start).astype(np.uint32).tobytes(), tokens[own].tobytes(), counts[cut[s] : cut[s + 1]].tobytes()))
+        kinds = (("batch", pa.int64()), ("shard", pa.int64()), ("k", pa.int64()), *((c, pa.binary()) for c in ("keys", "runs", "words", "counts")))
+        return pa.table({c: pa.array([x[i] for x in out], t) for i, (c, t) in enumerate(kinds)})
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        total_ = sent.value[1]
         keys, counts = (np.frombuffer(known.column(c)[0].as_py(), t) if known.num_rows else np.zeros(0, t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
-        seen = Counter()
-        for p, c in zip(asked.column("pairs").to_pylist(), asked.column("counts").to_pylist(), strict=True):
-            seen.add(np.frombuffer(p, np.uint64), np.frombuffer(c, np.uint32))
-        found, sums = seen.settle()
-        trie = Trie(found.astype(np.int64), sums, total_)
-        ones, shares, rests = [], [], []
-        for k, p in zip(asked.column("keys").to_pylist(), asked.column("pairs").to_pylist(), strict=True):
-            wanted = np.frombuffer(k, np.uint64)
-            at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-            ones.append(np.where(keys[at] == wanted, counts[at], 0).tobytes() if len(keys) else np.zeros(len(wanted), np.int64).tobytes())
-            share, rest = trie.find(np.frombuffer(p, np.uint64).astype(np.int64))
-            shares.append(share.tobytes())
-            rests.append(rest.tobytes())
-        return pa.table({"batch": asked.column("batch"), **{c: pa.array(x, pa.binary()) for c, x in (("keys", asked.column("keys").to_pylist()), ("ones", ones), ("pairs", asked.column("pairs").to_pylist()), ("shares", shares), ("rests", rests))}})
+        rows = asked.to_pylist()
+        out = []
+        for r in rows:
+            if r["k"] == 1:
+                wanted = np.frombuffer(r["keys"], np.uint64)
+                at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+                ones = np.where(keys[at] == wanted, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
+                out.append((r["batch"], r["shard"], 1, r["keys"], ones.tobytes()))
+        for k in range(2, order + 1):
+            longer = [r for r in rows if r["k"] == k]
+            if not longer:
+                continue
+            told_ = _answers([(r["keys"], r["runs"], r["words"], r["counts"]) for r in longer])
+            out += [(r["batch"], r["shard"], k, *t) for r, t in zip(longer, told_, strict=True)]
+        kinds = (("batch", pa.int64()), ("shard", pa.int64()), ("k", pa.int64()), ("a", pa.binary()), ("b", pa.binary()))
+        return pa.table({c: pa.array([x[i] for x in out], t) for i, (c, t) in enumerate(kinds)})
 
     def rate(table: pa.Table, told: pa.Table) -> pa.Table:
-        vocabulary = sent.value[0]
-        end = int(ids_of(np.array([END]), vocabulary)[0])
-        joined = lambda c, t: np.frombuffer(b"".join(told.column(c).to_pylist()), t)
-        keys, ones, pairs, shares, rests = joined("keys", np.uint64), joined("ones", np.int64), joined("pairs", np.int64), joined("shares", np.float32), joined("rests", np.float32)
-        order, pair_order = np.argsort(keys), np.argsort(pairs)
-        keys, ones, pairs, shares, rests = keys[order], ones[order], pairs[pair_order], shares[pair_order], rests[pair_order]
-        texts = utf8(table.column("_text").combine_chunks())
-        parts: list[tuple[np.ndarray, ...]] = []
-        for a, b in chunks(texts):
-            tokens, first = token_hashes(texts[a:b])
-            c = ones[np.searchsorted(keys, tokens)]
-            p = (c + 0.1) / (n + 0.1 * (v + 1))
-            pair = pairs_of(ids_of(tokens, vocabulary), end, len(vocabulary))
-            own, has = p.copy(), np.flatnonzero(pair >= 0)
-            at = np.searchsorted(pairs, pair[has])
-            own[has] = shares[at].astype(np.float64) + rests[at] * p[has]
-            parts.append((np.diff(first), np.add.reduceat((c > 0).astype(np.int64), first[:-1]), np.add.reduceat(np.log10(p), first[:-1]), np.add.reduceat(np.log10(own), first[:-1])))
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        return pa.table({**{c: table.column(c) for c in kept}, "n_tokens": cols[0].astype(np.int64), "n_known": cols[1], "train_tokens": np.full(len(texts), n, np.int64), "base_score": cols[2], "score": cols[3]})
+        tokens, first = tokens_of(table)
+        parts = sorted(zip(*(told.column(c).to_pylist() for c in ("k", "shard", "a", "b")), strict=True), key=lambda x: x[:2])
+        joined = lambda k, i, t: np.frombuffer(b"".join(x[i] for x in parts if x[0] == k), t)
+        keys, ones = joined(1, 2, np.uint64), joined(1, 3, np.int64)
+        at = np.argsort(keys)
+        c = ones[at][np.searchsorted(keys[at], tokens)]
+        p = (c + 0.1) / (n + 0.1 * (v + 1))
+        own = p.copy()
+        for k in range(2, order + 1):
+            context = ngrams(tokens, first, k)
+            index, place, _ = distinct(context, tokens, shards)
+            run = np.cumsum(np.diff(context[index], prepend=context[index[:1]] ^ np.uint64(1)) != 0) - 1
+            own = (10 ** joined(k, 2, np.float16).astype(np.float64))[place] + joined(k, 3, np.float32)[run][place] * own
+        start = first[:-1]
+        cols = [np.diff(first), *(np.add.reduceat(x, start) for x in ((c > 0).astype(np.int64), np.log10(p), np.log10(own)))]
+        return pa.table({**{c: table.column(c) for c in kept}, "n_tokens": cols[0].astype(np.int64), "n_known": cols[1], "train_tokens": np.full(len(start), n, np.int64), "base_score": cols[2], "score": cols[3]})
 
     grouped = docs.withColumn("_batch", F.pmod(F.xxhash64(F.col(id_col), F.octet_length("_text")), F.lit(shards)))
-    asked = grouped.groupBy("_batch").applyInArrow(ask, "batch bigint, shard bigint, keys binary, pairs binary, counts binary")
-    told = asked.groupBy("shard").cogroup(unigrams.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(answer, "batch bigint, keys binary, ones binary, pairs binary, shares binary, rests binary")
+    asked = grouped.groupBy("_batch").applyInArrow(ask, "batch bigint, shard bigint, k bigint, keys binary, runs binary, words binary, counts binary")
+    told = asked.groupBy("shard").cogroup(unigrams.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(answer, "batch bigint, shard bigint, k bigint, a binary, b binary")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"])
     return grouped.groupBy("_batch").cogroup(told.groupBy("batch")).applyInArrow(rate, schema)

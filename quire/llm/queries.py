@@ -53,7 +53,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc32_bucket(F.col("doc_id"), 10) == 0).alias("held_out"))
-    return lm.score(docs, "not held_out", keep=("held_out",))
+    return lm.score(docs, "not held_out", keep=("held_out",), order=lm.ORDER)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,6 +320,32 @@ def test_lm_scores(spark):
     assert by[1].score == pytest.approx(exact, abs=0.02 * len(tokens[1]))
 
 
+def test_lm_counts_rare_words_and_three_orders(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", f"once{i}"]) for _ in range(rng.randint(1, 12)))) for i in range(80)] + [(80, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    tokens = {d: [None, None, *re.findall(r"[^\x20\x09-\x0D]+", t or ""), None] for d, t in rows}
+    counts = [Counter(tuple(tokens[d][i - k : i + 1]) for d, _ in rows if d % 10 for i in range(2, len(tokens[d]))) for k in range(3)]
+    n, v = sum(counts[0].values()), len(counts[0])
+    seen = [Counter() for _ in range(3)]
+    kinds = [Counter() for _ in range(3)]
+    for k in (1, 2):
+        for g, c in counts[k].items():
+            seen[k][g[:-1]] += c
+            kinds[k][g[:-1]] += 1
+    for r in lm.score(docs, "doc_id % 10 > 0", order=3).collect():
+        own = tokens[r.doc_id]
+        exact = 0.0
+        for i in range(2, len(own)):
+            p = (counts[0][own[i],] + 0.1) / (n + 0.1 * (v + 1))
+            for k in (1, 2):
+                g = tuple(own[i - k : i + 1])
+                if seen[k][g[:-1]]:
+                    p = max(counts[k][g] - lm.DISCOUNT, 0) / seen[k][g[:-1]] + lm.DISCOUNT * kinds[k][g[:-1]] / seen[k][g[:-1]] * p
+            exact += math.log10(p)
+        assert r.score == pytest.approx(exact, abs=0.02 * len(own))
+
+
 def test_lm_without_training_rows(spark):
     got = lm.score(spark.createDataFrame([(1, "a b"), (2, None)], DOCS), "false").collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(1, 3, 0, 0), (2, 1, 0, 0)}
