@@ -13,7 +13,7 @@ those that nobody shares. Most texts have no key left.
    own: their pairs, told apart first, pass the same bound.
 3. What passes is compared exactly, on sorted arrays.
 
-No list of pairs within a component is made. Null texts, and texts without words, have an empty set and link with nothing; a text of fewer than k
+near_duplicates makes no list of pairs within a component; links does. Null texts, and texts without words, have an empty set and link with nothing; a text of fewer than k
 words is one shingle. Repeated rows are copies. Sets of different texts are told apart by 64 bits of hash, and class ids of different sets are checked against 64 more.
 """
 
@@ -325,6 +325,21 @@ def _firsts(rows: DataFrame, *orders) -> DataFrame:
     return found.select("key", "band", F.explode("f").alias("f")).select("key", "band", F.col("f.class").alias("first"), F.col("f.n").alias("first_n"), F.col("f.component").alias("first_c")).distinct()
 
 
+def _met(keys: DataFrame, percent: int) -> DataFrame:
+    """(key, class, n, shared, band): the keys by which sets are met; stored."""
+    n = F.col("n")
+    # The keys of linked sets have 1 + keys - prefix in common, of the smaller one. So of its keys, the rarest first, each
+    # needs only as many as leave fewer over; those that no other set has are the rarest, and need not be met.
+    common = F.ceil(n * percent / 100)  # the least partner's size
+    prefix = lambda x: x - F.ceil(x * percent / 100) + 1
+    keys_of = lambda x: F.least(x, prefix(x) + F.floor(prefix(x) / 4) + 1)
+    spare = keys_of(common) - prefix(common)
+    ranked = keys.withColumn("rank", F.expr("row_number() over (partition by class order by held desc, key)")).where(F.col("rank") > spare)
+    total = keys.groupBy("class").agg((F.count("*") / F.max(keys_of(n))).alias("shared"))
+    met = ranked.join(total, "class").withColumn("band", F.floor(F.log(n) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("bigint"))
+    return stored(met.select("key", "class", "n", "shared", "band"), "met")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, tile: int = TILE) -> DataFrame:
     """id_col, n_shingles long and component_id (the least id of a row that links lead to; its own if none does)."""
     spark = docs.sparkSession
@@ -334,17 +349,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BATCH_BYTES + 1)
         keys = _keys(docs, k, percent, text_col, buckets)
         maps = named.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-        n = F.col("n")
-        # The keys of linked sets have 1 + keys - prefix in common, of the smaller one. So of its keys, the rarest first, each
-        # needs only as many as leave fewer over; those that no other set has are the rarest, and need not be met.
-        common = F.ceil(n * percent / 100)  # the least partner's size
-        prefix = lambda x: x - F.ceil(x * percent / 100) + 1
-        keys_of = lambda x: F.least(x, prefix(x) + F.floor(prefix(x) / 4) + 1)
-        spare = keys_of(common) - prefix(common)
-        ranked = keys.withColumn("rank", F.expr("row_number() over (partition by class order by held desc, key)")).where(F.col("rank") > spare)
-        total = keys.groupBy("class").agg((F.count("*") / F.max(keys_of(n))).alias("shared"))
-        met = ranked.join(total, "class").withColumn("band", F.floor(F.log(n) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("bigint"))
-        met = stored(met.select("key", "class", "n", "shared", "band"), "met")
+        met = _met(keys, percent)
         alone = met.withColumn("component", F.col("class"))
         star = _star(alone, _firsts(alone, F.col("shared")), percent)
         links = _linked(_bounded(star, maps, percent), docs, named, k, percent, id_col, text_col)
@@ -378,3 +383,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         least = filled.groupBy("component").agg(F.min("id").alias("component_id"))
         out = filled.join(least, "component").select("id", "n", "component_id").union(grouped.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
         return kept(out.toDF(id_col, "n_shingles", "component_id"))
+
+
+def links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """Every link between different sets, those within a component too: a, b (the least ids of their rows) and a_rows, b_rows long. As many as
+    the square of a group's distinct sets; rows of equal sets are not paired."""
+    spark = docs.sparkSession
+    with scratch(spark) as kept:
+        named = classes(docs, k, id_col, text_col)
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+        keys = _keys(docs, k, percent, text_col, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BATCH_BYTES + 1))
+        maps = named.where("n > 0").groupBy("class").agg(F.first("bitmap").alias("bitmap"))
+        rows = _met(keys, percent).withColumn("component", F.col("class")).join(maps, "class")
+        linked = _linked(_tiled(rows, percent, tile), docs, named, k, percent, id_col, text_col)
+        each = named.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+        out = linked.join(each.toDF("a", "x", "x_rows"), "a").join(each.toDF("b", "y", "y_rows"), "b")
+        return kept(out.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("x_rows").alias("a_rows"), F.col("y_rows").alias("b_rows")))

@@ -192,6 +192,21 @@ def test_jaccard_join(spark, k, percent, few, tile):
     assert sorted(map(tuple, got)) == linked_plainly(rows, k, percent)
 
 
+def test_jaccard_links_within_components(spark):
+    rows = mixed(11)
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        s = frozenset([tuple(w)] if 0 < len(w) < 4 else (tuple(w[i : i + 4]) for i in range(len(w) - 3)))
+        if s:
+            sets.setdefault(s, []).append(d)
+    exact = {frozenset([(min(x), len(x)), (min(y), len(y))]) for a, x in sets.items() for b, y in sets.items() if a != b and 100 * len(a & b) >= 85 * len(a | b)}
+    got = [frozenset([(r.a, r.a_rows), (r.b, r.b_rows)]) for r in jaccard.links(spark.createDataFrame(rows, DOCS), 4, 85, tile=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == exact
+    groups = Counter(c for _, c in {(min(x), c) for x in sets.values() for d, _, c in linked_plainly(rows, 4, 85) if d == min(x)})
+    assert len(exact) > sum(n - 1 for n in groups.values())  # more than a tree of each component
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
