@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE = 0.05
+RATE = 0.08
 #: Bytes of items that go to the workers at once; more are taken in turns.
 BLOCK_BYTES = 8 << 20
 

@@ -460,6 +460,14 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, none).collect() == [] and decontam.clean(docs, none).count() == len(rows)
 
 
+def test_decontamination_finds_copies_with_eight_percent_of_edits(spark):
+    rng = random.Random(13)
+    item = "".join(rng.choice("abcdefgh") for _ in range(100))
+    docs = [(n, "zz " + "".join("x" if i % 12 == 5 and i < 12 * n else c for i, c in enumerate(item)) + " zz") for n in (0, 6, 8)]
+    got = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.distance) for r in got) == [(0, 0), (6, 6), (8, 8)]
+
+
 def test_columns_of_new_names_are_replaced(spark, vocabulary):
     docs = spark.createDataFrame([(1, "the text", "x", "y", 3.0, "z"), (None, None, None, None, None, None)], "doc_id long, text string, lang_pred string, _kept string, score double, a_b string")
     model = langid.train({"en": ["the text of it"], "de": ["der und die"]})
