@@ -62,7 +62,7 @@ BASES = {
 }
 
 #: Glyph names that Unicode's own names do not give (fixed values).
-_GLYPHS = {"space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "quoteright": "’", "quoteleft": "‘", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "bullet": "•", "Euro": "€", "ellipsis": "…", "endash": "–", "emdash": "—", "quotedblleft": "“", "quotedblright": "”", "quotedblbase": "„", "quotesinglbase": "‚", "fi": "ﬁ", "fl": "ﬂ", "germandbls": "ß", "AE": "Æ", "ae": "æ", "OE": "Œ", "oe": "œ", "Oslash": "Ø", "oslash": "ø", "dotlessi": "ı", "Lslash": "Ł", "lslash": "ł", "trademark": "™", "copyright": "©", "registered": "®", "degree": "°", "section": "§", "paragraph": "¶", "sterling": "£", "yen": "¥", "cent": "¢", "dagger": "†", "daggerdbl": "‡", "guillemotleft": "«", "guillemotright": "»", "exclamdown": "¡", "questiondown": "¿", "periodcentered": "·", "mu": "µ", "nbspace": " "}
+_GLYPHS = {"space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "quoteright": "’", "quoteleft": "‘", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "bullet": "•", "Euro": "€", "ellipsis": "…", "endash": "–", "emdash": "—", "quotedblleft": "“", "quotedblright": "”", "quotedblbase": "„", "quotesinglbase": "‚", "fi": "ﬁ", "fl": "ﬂ", "germandbls": "ß", "AE": "Æ", "ae": "æ", "OE": "Œ", "oe": "œ", "Oslash": "Ø", "oslash": "ø", "dotlessi": "ı", "Lslash": "Ł", "lslash": "ł", "trademark": "™", "copyright": "©", "registered": "®", "degree": "°", "section": "§", "paragraph": "¶", "sterling": "£", "yen": "¥", "cent": "¢", "dagger": "†", "daggerdbl": "‡", "guillemotleft": "«", "guillemotright": "»", "exclamdown": "¡", "questiondown": "¿", "periodcentered": "·", "mu": "µ", "nbspace": " ", "plusminus": "±", "paragrapy": "¶", "pilcrow": "¶", "multiply": "×", "divide": "÷", "logicalnot": "¬", "infinity": "∞", "lessequal": "≤", "greatequal": "≥", "notequal": "≠", "Eth": "Ð", "Thorn": "Þ", "eth": "ð", "thorn": "þ", "Odoubleacute": "Ő", "odoubleacute": "ő", "Gear": "℡", "minus": "−", "product": "∏", "sum": "∑", "sqrt": "√", "integral": "∫", "lambda": "λ", "fleury": "ƒ"}
 _DIGITS = dict(zip(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"), "0123456789", strict=True))
 _ACCENTS = {"acute": "ACUTE", "grave": "GRAVE", "circumflex": "CIRCUMFLEX", "dieresis": "DIAERESIS", "tilde": "TILDE", "ring": "RING ABOVE", "cedilla": "CEDILLA", "caron": "CARON", "macron": "MACRON", "breve": "BREVE", "ogonek": "OGONEK", "dotaccent": "DOT ABOVE"}
 

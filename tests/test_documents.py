@@ -72,6 +72,16 @@ def test_text_layout():
     assert show(b"BT /H 1 Tf <27AEE1> Tj ET", fonts) == "’ﬁÆ"
 
 
+#: The reference's glyph names and their code points.
+REFERENCE_GLYPHS = {"A": 0x41, "B": 0x42, "C": 0x43, "D": 0x44, "E": 0x45, "F": 0x46, "G": 0x47, "H": 0x48, "I": 0x49, "J": 0x4A, "K": 0x4B, "L": 0x4C, "M": 0x4D, "N": 0x4E, "O": 0x4F, "P": 0x50, "Q": 0x51, "R": 0x52, "S": 0x53, "T": 0x54, "U": 0x55, "V": 0x56, "W": 0x57, "X": 0x58, "Y": 0x59, "Z": 0x5A, "a": 0x61, "b": 0x62, "c": 0x63, "d": 0x64, "e": 0x65, "f": 0x66, "g": 0x67, "h": 0x68, "i": 0x69, "j": 0x6A, "k": 0x6B, "l": 0x6C, "m": 0x6D, "n": 0x6E, "o": 0x6F, "p": 0x70, "q": 0x71, "r": 0x72, "s": 0x73, "t": 0x74, "u": 0x75, "v": 0x76, "w": 0x77, "x": 0x78, "y": 0x79, "z": 0x7A, "space": 0x20, "period": 0x2E, "comma": 0x2C, "hyphen": 0x2D, "colon": 0x3A, "semicolon": 0x3B, "exclam": 0x21, "quotedbl": 0x22, "quotesingle": 0x27, "parenleft": 0x28, "parenright": 0x29, "bracketleft": 0x5B, "bracketright": 0x5D, "braceleft": 0x7B, "braceright": 0x7D, "slash": 0x2F, "backslash": 0x5C, "bar": 0x7C, "ampersand": 0x26, "percent": 0x25, "dollar": 0x24, "numbersign": 0x23, "asterisk": 0x2A, "plus": 0x2B, "equal": 0x3D, "question": 0x3F, "at": 0x40, "quoteleft": 0x2018, "quoteright": 0x2019, "quotedblleft": 0x201C, "quotedblright": 0x201D, "endash": 0x2013, "emdash": 0x2014, "bullet": 0x2022, "dagger": 0x2020, "daggerdbl": 0x2021, "Euro": 0x20AC, "sterling": 0xA3, "yen": 0xA5, "cent": 0xA2, "section": 0xA7, "copyright": 0xA9, "registered": 0xAE, "trademark": 0x2122, "plusminus": 0xB1, "degree": 0xB0, "paragrapy": 0xB6, "pilcrow": 0xB6, "multiply": 0xD7, "divide": 0xF7, "logicalnot": 0xAC, "infinity": 0x221E, "lessequal": 0x2264, "greatequal": 0x2265, "notequal": 0x2260, "Agrave": 0xC0, "Aacute": 0xC1, "Acircumflex": 0xC2, "Atilde": 0xC3, "Adieresis": 0xC4, "Aring": 0xC5, "AE": 0xC6, "Ccedilla": 0xC7, "Egrave": 0xC8, "Eacute": 0xC9, "Ecircumflex": 0xCA, "Edieresis": 0xCB, "Igrave": 0xCC, "Iacute": 0xCD, "Icircumflex": 0xCE, "Idieresis": 0xCF, "Eth": 0xD0, "Ntilde": 0xD1, "Ograve": 0xD2, "Oacute": 0xD3, "Ocircumflex": 0xD4, "Otilde": 0xD5, "Odieresis": 0xD6, "Oslash": 0xD8, "Ugrave": 0xD9, "Uacute": 0xDA, "Ucircumflex": 0xDB, "Udieresis": 0xDC, "Yacute": 0xDD, "Thorn": 0xDE, "agrave": 0xE0, "aacute": 0xE1, "acircumflex": 0xE2, "atilde": 0xE3, "adieresis": 0xE4, "aring": 0xE5, "ae": 0xE6, "ccedilla": 0xE7, "egrave": 0xE8, "eacute": 0xE9, "ecircumflex": 0xEA, "edieresis": 0xEB, "igrave": 0xEC, "iacute": 0xED, "icircumflex": 0xEE, "idieresis": 0xEF, "eth": 0xF0, "ntilde": 0xF1, "ograve": 0xF2, "oacute": 0xF3, "ocircumflex": 0xF4, "otilde": 0xF5, "odieresis": 0xF6, "oslash": 0xF8, "ugrave": 0xF9, "uacute": 0xFA, "ucircumflex": 0xFB, "udieresis": 0xFC, "yacute": 0xFD, "thorn": 0xFE, "ydieresis": 0xFF, "Scaron": 0x160, "scaron": 0x161, "Nacute": 0x143, "nacute": 0x144, "Odoubleacute": 0x150, "odoubleacute": 0x151, "Lslash": 0x141, "lslash": 0x142, "OE": 0x152, "oe": 0x153, "Zcaron": 0x17D, "zcaron": 0x17E, "Gear": 0x2121, "minus": 0x2212, "product": 0x220F, "sum": 0x2211, "sqrt": 0x221A, "integral": 0x222B, "Delta": 0x394, "Omega": 0x3A9, "pi": 0x3C0, "lambda": 0x3BB, "sigma": 0x3C3, "mu": 0xB5, "fleury": 0x192}
+
+
+def test_glyph_names_of_the_reference():
+    assert len(REFERENCE_GLYPHS) == 193
+    assert {n: text.glyph(n) for n in REFERENCE_GLYPHS} == {n: chr(c) for n, c in REFERENCE_GLYPHS.items()}
+    assert text.differences([215, Name("multiply"), Name("lambda")]) == {215: "×", 216: "λ"}
+
+
 def test_encodings():
     assert text.text_string(b"\xfe\xff\0A\xd8\x3d\xde\x00") == "A😀" and text.text_string(b"\xff\xfeA\0") == "A" and text.text_string(b"\xef\xbb\xbf\xc3\xa9") == "é"
     assert text.text_string(b"plain") == "plain" and text.text_string(b"\0h\0i\0!") == "hi!" and text.text_string(b"h\0i\0!\0") == "hi!" and text.text_string(b"\xe9t\xe9") == "été"
