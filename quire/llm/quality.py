@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine over hashed words and structure statistics of the text; there is no metadata input.
 
 A text's features are its distinct words, hashed to BUCKETS, and FIGURES of its structure (length among them), each as one of BINS ranges learned from the
 sample. The score is logistic(w0 + sum w x + pairwise), where the pairwise part of low-rank factors V, by the identity 1/2 sum_f ((sum v x)^2 - sum (v x)^2), takes time linear in the features.
