@@ -26,6 +26,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Folders of the tables that are stored, by the innermost scratch; the first list is of those outside of any.
 _scratch: list[list[str]] = [[]]
+#: Stored tables hold hashes, which no dictionary shortens; small row groups keep writers small.
+_WRITE = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -99,7 +101,7 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     """df written as Parquet in the shared checkpoint folder and read again: its lineage is cut and no executor's loss can lose it."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
     _scratch[-1].append(path)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.options(**_WRITE).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -157,7 +159,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     which is combined before the shuffle. A node of very many links stays a stream of rows.
     Each round is written to the checkpoint folder.
     """
+    known = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = None
     for _ in range(rounds):
         both = current.union(current.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -165,11 +169,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = stored(small, "edges")
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after = new.agg(*known).first()
         dropped(current)
         current = new
-        if same:
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
