@@ -12,8 +12,6 @@ from quire.llm import bpe, decontam, jaccard, langid, suffix
 from quire.llm.common import crc32_bucket, small_batches, stored
 from quire.llm.queries import VOCABULARY
 
-#: What a row is: rows of one id and one text are copies.
-_ROW = "_pipeline_row"
 #: Passages of over 50 words that repeat go, however short their words; op1's bytes alone would leave most of 51 to 64 words.
 WORDS = 51
 
@@ -27,17 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents (five words, 0.8) the one with the least id; of rows of one id and one text a single one. Documents without words stay."""
+    """Keeps of each group of linked documents (five words, 0.8) the one with the least id; of rows of one id and one text a single one. A row goes for its own text,
+    whatever other rows have its id. Documents without words stay."""
     small_batches(spark)
-    found = stored(jaccard.near_duplicates(docs, k=5, percent=80), "found")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_pipeline_id")).distinct()
-    if gone.count() <= jaccard.BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col("_pipeline_id"), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        return kept
-    once = kept.where("doc_id is not null").withColumn(_ROW, F.xxhash64("text")).dropDuplicates(["doc_id", _ROW]).drop(_ROW)
-    return once.unionByName(kept.where("doc_id is null"))
+    return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
