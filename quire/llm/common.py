@@ -92,16 +92,19 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; set here only where the cluster names none."""
+    """The shared folder of spark.checkpoint.dir. Only a session in one process, as in tests, may name none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at or "/tmp/checkpoints/quire"
 
 
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df written as Parquet in the shared checkpoint folder and read again: its lineage is cut and no executor's loss can lose it."""
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read again: its lineage is cut and no executor's loss can lose it.
+    small: rows of a few numbers, which so many files as there are cores hold, not one a shuffle partition."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
     _scratch[-1].append(path)
-    df.write.options(**_WRITE).partitionBy(*partition_by).parquet(path)
+    (df.coalesce(df.sparkSession.sparkContext.defaultParallelism) if small else df).write.options(**_WRITE).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -160,7 +163,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Each round is written to the checkpoint folder.
     """
     known = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", small=True)
     before = None
     for _ in range(rounds):
         both = current.union(current.select("v", "u")).toDF("u", "v")
@@ -168,7 +171,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        new = stored(small, "edges")
+        new = stored(small, "edges", small=True)
         after = new.agg(*known).first()
         dropped(current)
         current = new

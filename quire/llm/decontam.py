@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 RATE = 0.08
 #: Bytes of items that go to the workers at once; more are taken in turns.
@@ -135,7 +136,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, doc_id:
     """(doc_id, item_id, distance int, end_char long, item_chars long): each row of docs and item within floor(rate * n) edits, with the end of the match in the compared text.
     Every block of items, each of BLOCK_BYTES at most, reads docs once."""
     schema = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, `{item_id}` {items.schema[item_id].dataType.simpleString()}, distance int, end_char bigint, item_chars bigint"
-    kinds = [None, None, pa.int32(), pa.int64(), pa.int64()]
+    kinds = [None, to_arrow_type(items.schema[item_id].dataType), pa.int32(), pa.int64(), pa.int64()]
     out = None
     for block in _blocks(items, item_id, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(block)

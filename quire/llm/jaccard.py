@@ -277,7 +277,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, named: DataFrame, k: int, percent
     texts = docs.select(F.xxhash64(text, id_).alias("row"), text.alias("text")).join(rows, "row", "left_semi").select("text")
     sets = texts.mapInArrow(run, "class bigint, hashes binary").dropDuplicates(["class"])
     both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    links = stored(both.mapInArrow(meet, "a bigint, b bigint"), "links")
+    links = stored(both.mapInArrow(meet, "a bigint, b bigint"), "links", small=True)
     release(docs.sparkSession)
     return links
 
@@ -297,7 +297,7 @@ def _bounded(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), share], ["a", "b", "share"]).filter(share.is_valid())
 
     both = pairs.join(maps.toDF("b", "m", "y"), "b").join(maps.toDF("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y")
-    return stored(both.mapInArrow(run, "a bigint, b bigint, share double"), "bounded")
+    return stored(both.mapInArrow(run, "a bigint, b bigint, share double"), "bounded", small=True)
 
 
 def _tiled(rows: DataFrame, percent: int, tile: int, thin: bool) -> DataFrame:
@@ -419,7 +419,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     met = _met(keys, percent)
     dropped(keys)
     verified = lambda pairs: _linked(pairs, docs, named, k, percent, id_col, text_col)
-    links = verified(_bounded(stored(_star(met, percent), "star"), named, percent).select("a", "b"))
+    links = verified(_bounded(stored(_star(met, percent), "star", small=True), named, percent).select("a", "b"))
     found = components(links)
     owned = _owned(met, found)
     mixed = owned.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("rows")).where("c1 <> c2").select("key", "rows")
@@ -428,11 +428,11 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     if not rows.isEmpty():
         maps = named.where("n > 0").groupBy("class").agg(F.first("bitmap").alias("bitmap"))
         large = rows.where(F.col("rows") > few).select("key", "class", "n", "component")
-        passed = _bounded(stored(_few(rows.where(F.col("rows") <= few), percent), "few"), named, percent)
-        proposed = stored(_tiled(large.join(maps, "class"), percent, tile, thin=True), "proposed")
+        passed = _bounded(stored(_few(rows.where(F.col("rows") <= few), percent), "few", small=True), named, percent)
+        proposed = stored(_tiled(large.join(maps, "class"), percent, tile, thin=True), "proposed", small=True)
         release(spark)
         likeliest = [passed.groupBy(c).agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b") for c in ("a", "b")]
-        first = stored(likeliest[0].union(likeliest[1]).union(proposed.select("a", "b")).distinct(), "first")
+        first = stored(likeliest[0].union(likeliest[1]).union(proposed.select("a", "b")).distinct(), "first", small=True)
         links = links.union(verified(first))
         found = components(links)
         rest = _apart(passed.join(first, ["a", "b"], "left_anti"), found)
@@ -440,7 +440,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
         again = large.select("key", "class", "n").join(_few_first(more), "key", "left_semi")
         if not again.isEmpty():
             rest = rest.union(_apart(_tiled(_owned(again, found).join(maps, "class"), percent, tile, thin=False).select("a", "b", "share"), found))
-        rest = stored(rest.select("a", "b").distinct(), "rest")
+        rest = stored(rest.select("a", "b").distinct(), "rest", small=True)
         if not rest.isEmpty():
             links = links.union(verified(rest))
             found = components(links)

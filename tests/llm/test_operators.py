@@ -317,7 +317,7 @@ def test_lm_scores(spark):
     tokens = {d: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None] for d, t in rows}
     seen = Counter(w for d, _ in rows if d % 10 for w in tokens[d])
     n, v = sum(seen.values()), len(seen)
-    got = lm.score(docs, "not held", keep=("held",)).collect()
+    got = lm.score(docs, "not held", keep=("held",), order=2).collect()
     assert len(got) == len(rows)
     for r in got:
         own = tokens[r.doc_id]
@@ -328,9 +328,8 @@ def test_lm_scores(spark):
     pairs = Counter(p for d, _ in rows if d % 10 for p in zip([None, *tokens[d]], tokens[d], strict=False))
     exact = 0.0
     for u, w in zip([None, *tokens[1]], tokens[1], strict=False):
-        often = [x for x in seen if seen[x] >= max(2, lm.SHARE * n)]
         base = (seen[w] + 0.1) / (n + 0.1 * (v + 1))
-        rest = 1 - sum((pairs[u, x] - lm.DISCOUNT) / seen[u] for x in often if pairs[u, x])
+        rest = 1 - sum((pairs[u, x] - lm.DISCOUNT) / seen[u] for x in seen if pairs[u, x])
         exact += math.log10(max(pairs[u, w] - lm.DISCOUNT, 0) / seen[u] + rest * base)
     assert by[1].score == pytest.approx(exact, abs=0.02 * len(tokens[1]))
 
@@ -361,6 +360,26 @@ def test_lm_counts_rare_words_and_three_orders(spark):
         assert r.score == pytest.approx(exact, abs=0.02 * len(own))
 
 
+def test_lm_of_many_batches_and_clashing_names(spark):
+    rng = random.Random(5)
+    rows = [(i % 50, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for i in range(300)] + [(None, None)] * 200
+    docs = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("mine"))
+    one = sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in lm.score(docs, "doc_id % 10 > 0", batch_bytes=1 << 30).collect())
+    many = sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in lm.score(docs, "doc_id % 10 > 0", keep=("score",), batch_bytes=100).collect())
+    assert len(one) == len(many) == 500
+    for a, b in zip(one, many, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=0.01)
+
+
+def test_trie_is_smaller_than_plain_arrays():
+    rng = np.random.default_rng(8)
+    pairs = np.unique(rng.integers(0, 100_000 << 23, 1_000_000))
+    trie = lm.Trie(pairs, np.ones(len(pairs), np.int64), np.bincount(pairs >> 23, minlength=100_000), 1 << 23)
+    assert trie.bytes < 0.55 * 9 * len(pairs)
+    share, rest = trie.find(pairs[::7])
+    assert (share > 0).all() and (rest < 1).all()
+
+
 def test_lm_without_training_rows(spark):
     got = lm.score(spark.createDataFrame([(1, "a b"), (2, None)], DOCS), "false").collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(1, 3, 0, 0), (2, 1, 0, 0)}
@@ -369,11 +388,11 @@ def test_lm_without_training_rows(spark):
 
 def test_elias_fano_and_trie():
     rng = np.random.default_rng(3)
-    for n, bound in ((0, 10), (1, 1), (500, 10**6), (500, 100)):
+    for n, bound in ((0, 10), (1, 1), (500, 10**6), (500, 100), (20_000, 1 << 40)):
         values = np.sort(rng.integers(0, bound, n))
         coded = lm.EliasFano(values, bound)
         coded.place(coded.parts())
-        assert coded[np.arange(n)].tolist() == values.tolist()
+        assert coded[np.arange(n)].tolist() == coded.decode(0, n).tolist() == lm.EliasFano.frombytes(coded.tobytes()).tolist() == values.tolist()
     total = np.full(40, 1000)
     pairs = np.unique(rng.integers(0, 40 * 41, 300))
     counts = rng.integers(1, 9, len(pairs))
