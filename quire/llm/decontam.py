@@ -134,8 +134,9 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance int, end_char long, item_chars long): each row of docs and item within floor(rate * n) edits, with the end of the match in the compared text.
-    Every block of items, each of BLOCK_BYTES at most, reads docs once."""
-    schema = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, `{item_id}` {items.schema[item_id].dataType.simpleString()}, distance int, end_char bigint, item_chars bigint"
+    Every block of items, each of BLOCK_BYTES at most, reads docs once. Where docs and items name their ids alike, the item's becomes item_id (or _item_id)."""
+    item_name = item_id if item_id != doc_id else "item_id" if doc_id != "item_id" else "_item_id"
+    schema = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, `{item_name}` {items.schema[item_id].dataType.simpleString()}, distance int, end_char bigint, item_chars bigint"
     kinds = [None, to_arrow_type(items.schema[item_id].dataType), pa.int32(), pa.int64(), pa.int64()]
     out = None
     for block in _blocks(items, item_id, item_text):
@@ -149,7 +150,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, doc_id:
                     for item, distance, end, n in matcher.find(plain(text.as_py())):
                         for column, value in zip(rows, (i, item, distance, end, n), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), *(pa.array(c, k) for c, k in zip(rows[1:], kinds[1:], strict=True))], names=[doc_id, item_id, "distance", "end_char", "item_chars"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), *(pa.array(c, k) for c, k in zip(rows[1:], kinds[1:], strict=True))], names=[doc_id, item_name, "distance", "end_char", "item_chars"])
 
         found = docs.select(doc_id, text_col).mapInArrow(run, schema)
         out = found if out is None else out.unionAll(found)
