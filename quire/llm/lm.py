@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import chunks, mix, utf8, words
+from quire.llm.common import chunks, mix, release, utf8, words
 
 DISCOUNT, BITS, ORDER, BATCH_BYTES = 0.75, 23, 3, 8 << 20
 #: Middle words of a message to a shard at most.
@@ -348,6 +348,7 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
 
     counted = docs.mapInArrow(count, "shard bigint, keys binary, n bigint").groupBy("shard").applyInArrow(total, "n bigint, v bigint")
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    release(spark)
 
     def tokens_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         texts, tokens, first, at = utf8(table.column("_text").combine_chunks()), [], [np.zeros(1, np.int64)], 0
