@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import BYTE_VALUES, SPACE, chunks, mix, powers, prefix_hashes, release, scratch, span_hashes, stored, utf8
 
 LENGTH, KGRAM, HOT = 400, 64, 20_000
-#: Words of an anchor, where texts are sequences of words.
-WORD_KGRAM = 8
+#: Passages of over 50 words count whatever their bytes. Words of an anchor, where texts are sequences of words.
+WORDS, WORD_KGRAM = 51, 8
 #: Bytes of a unit: of a byte, and of a word's hash.
 BYTE, WORD = 1, 8
 #: Windows of a text that are looked at together; of a longer text, pieces overlap by LENGTH - 1 bytes.
@@ -223,102 +223,113 @@ def repeated(group: np.ndarray, texts: list[bytes], most: np.ndarray, least: np.
     return out
 
 
-def _verdicts(docs: DataFrame, length: int, kgram: int, hot: int, unit: int) -> DataFrame:
-    """(r1, r2, marks: array of key, span, ranges - null if all windows are repeated). docs: r1, r2, text."""
+def _verdicts(docs: DataFrame, kinds: tuple[tuple[int, int, int], ...], hot: int) -> DataFrame:
+    """(r1, r2, marks: array of unit, key, span, ranges - null if all windows are repeated). docs: r1, r2, text; kinds: unit, length and kgram of what is compared, each unit once."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of = {unit: (length, kgram) for unit, length, kgram in kinds}
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Anchors(sequences(utf8(batch.column("text")), unit), length, kgram, unit)
-            order = np.lexsort((found.span, found.key, found.row))
-            row, key, span = found.row[order], found.key[order], found.span[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (span[1:] != span[:-1])
-            start = np.flatnonzero(new)
-            n = np.diff(np.append(start, len(row)))
-            row = pa.array(row[start])
-            yield pa.RecordBatch.from_arrays([pa.array(key[start].view(np.int64)), pa.array(span[start].view(np.int64)), batch.column("r1").take(row), batch.column("r2").take(row), pa.array(n)], ["key", "span", "r1", "r2", "n"])
-
-    anchors = stored(docs.mapInArrow(emit, "key bigint, span bigint, r1 bigint, r2 bigint, n bigint"), "anchors")
-    spans = anchors.groupBy("key", "span").agg(F.sum("n").alias("n"), F.min(F.struct("r1", "r2")).alias("at"))
-    keys = spans.groupBy("key").agg(F.count("*").alias("spans"), F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1").drop("all")
-    known = stored(spans.join(keys, "key"), "spans")
+            texts = utf8(batch.column("text"))
+            for unit, length, kgram in kinds:
+                found = Anchors(sequences(texts, unit), length, kgram, unit)
+                order = np.lexsort((found.span, found.key, found.row))
+                row, key, span = found.row[order], found.key[order], found.span[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (span[1:] != span[:-1])
+                start = np.flatnonzero(new)
+                n = np.diff(np.append(start, len(row)))
+                row = pa.array(row[start])
+                made = [pa.array(np.full(len(start), unit)), pa.array(key[start].view(np.int64)), pa.array(span[start].view(np.int64)), batch.column("r1").take(row), batch.column("r2").take(row), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(made, ["unit", "key", "span", "r1", "r2", "n"])
+
+    anchors = stored(docs.mapInArrow(emit, "unit bigint, key bigint, span bigint, r1 bigint, r2 bigint, n bigint"), "anchors")
+    repeats = not docs.groupBy("r1", "r2").count().where("count > 1").isEmpty()
+    spans = anchors.groupBy("unit", "key", "span").agg(F.sum("n").alias("n"), F.min(F.struct("r1", "r2")).alias("at"))
+    keys = spans.groupBy("unit", "key").agg(F.count("*").alias("spans"), F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1").drop("all")
+    known = stored(spans.join(keys, ["unit", "key"]), "spans")
     release(spark)
-    wanted = known.where("spans > 1 and least = 1").groupBy("at.r1", "at.r2").agg(F.collect_list(F.struct("key", "span", "n", "spans")).alias("wanted"))
+    wanted = known.where("spans > 1 and least = 1").groupBy("at.r1", "at.r2").agg(F.collect_list(F.struct("unit", "key", "span", "n", "spans")).alias("wanted"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column("text"))
             for a in range(0, len(texts), 256):
-                some = sequences(texts[a : a + 256], unit)
-                found = Anchors(some, length, kgram, unit)
                 wants = batch.column("wanted").slice(a, 256).to_pylist()
-                begin = np.searchsorted(found.row, np.arange(len(some) + 1))
-                out: dict[str, list] = {c: [] for c in ("key", "span", "n", "spans", "most", "least", "around")}
-                for i, text in enumerate(some):
-                    where = {}
-                    for k in range(begin[i + 1] - 1, begin[i] - 1, -1):
-                        where[int(found.key[k]), int(found.span[k])] = k
-                    done = set()
-                    for w in wants[i]:
-                        k = where[w["key"] & 0xFFFFFFFFFFFFFFFF, w["span"] & 0xFFFFFFFFFFFFFFFF]
-                        if k in done:
-                            continue
-                        done.add(k)
-                        for c in ("key", "span", "n", "spans"):
-                            out[c].append(w[c])
-                        out["most"].append(int(found.at[k] - found.first[k]))
-                        out["least"].append(int(found.at[k] - found.last[k]))
-                        out["around"].append(text[found.first[k] * unit : (found.last[k] + length) * unit])
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in ("key", "span", "n", "spans", "most", "least")] + [("around", pa.binary())]))
-
-    schema = "key bigint, span bigint, n bigint, spans bigint, most bigint, least bigint, around binary"
-    contexts = docs.join(wanted, ["r1", "r2"]).mapInArrow(around, schema)
+                out: dict[str, list] = {c: [] for c in ("unit", "key", "span", "n", "spans", "most", "least", "around")}
+                for unit, length, kgram in kinds:
+                    some = sequences(texts[a : a + 256], unit)
+                    found = Anchors(some, length, kgram, unit)
+                    begin = np.searchsorted(found.row, np.arange(len(some) + 1))
+                    for i, text in enumerate(some):
+                        where = {}
+                        for k in range(begin[i + 1] - 1, begin[i] - 1, -1):
+                            where[int(found.key[k]), int(found.span[k])] = k
+                        done = set()
+                        for w in wants[i]:
+                            if w["unit"] != unit:
+                                continue
+                            k = where[w["key"] & 0xFFFFFFFFFFFFFFFF, w["span"] & 0xFFFFFFFFFFFFFFFF]
+                            if k in done:
+                                continue
+                            done.add(k)
+                            for c in ("unit", "key", "span", "n", "spans"):
+                                out[c].append(w[c])
+                            out["most"].append(int(found.at[k] - found.first[k]))
+                            out["least"].append(int(found.at[k] - found.last[k]))
+                            out["around"].append(text[found.first[k] * unit : (found.last[k] + length) * unit])
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in ("unit", "key", "span", "n", "spans", "most", "least")] + [("around", pa.binary())]))
+
+    schema = "unit bigint, key bigint, span bigint, n bigint, spans bigint, most bigint, least bigint, around binary"
+    held_once = docs.join(wanted, ["r1", "r2"])
+    contexts = (held_once.dropDuplicates(["r1", "r2"]) if repeats else held_once).mapInArrow(around, schema)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def settle(table: pa.Table) -> pa.RecordBatch:
-            keys, spans_ = (table.column(c).to_numpy() for c in ("key", "span"))
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (spans_[1:] != spans_[:-1])  # repeated rows give a span twice
-            table = table.filter(pa.array(new))
-            keys, spans_, n, most, least = (table.column(c).to_numpy() for c in ("key", "span", "n", "most", "least"))
-            ranges = repeated(np.cumsum(np.diff(keys, prepend=keys[0]) != 0), table.column("around").to_pylist(), most, least, length, unit)
-            keep = [i for i, (r, c) in enumerate(zip(ranges, n, strict=True)) if r and c == 1]
-            return pa.RecordBatch.from_pydict({"key": keys[keep], "span": spans_[keep], "ranges": pa.array([[{"a": a, "b": b} for a, b in ranges[i]] for i in keep], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))})
+        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            of_unit = table.column("unit").to_numpy()
+            for unit in np.unique(of_unit).tolist():
+                own = table.filter(pa.array(of_unit == unit))
+                keys, spans_, n, most, least = (own.column(c).to_numpy() for c in ("key", "span", "n", "most", "least"))
+                ranges = repeated(np.cumsum(np.diff(keys, prepend=keys[0]) != 0), own.column("around").to_pylist(), most, least, of[unit][0], unit)
+                keep = [i for i, (r, c) in enumerate(zip(ranges, n, strict=True)) if r and c == 1]
+                told = pa.array([[{"a": a, "b": b} for a, b in ranges[i]] for i in keep], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+                yield pa.RecordBatch.from_pydict({"unit": np.full(len(keep), unit), "key": keys[keep], "span": spans_[keep], "ranges": told})
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
             if sum(b.num_rows for b in held) >= GATHER:
                 table = pa.Table.from_batches(held)
-                keys = table.column("key").to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1]))
-                if cut:
-                    yield settle(table.slice(0, cut))
+                ids = [table.column(c).to_numpy() for c in ("unit", "key")]
+                before = np.flatnonzero((ids[0] != ids[0][-1]) | (ids[1] != ids[1][-1]))
+                if len(before):
+                    cut = int(before[-1]) + 1
+                    yield from settle(table.slice(0, cut))
                     held = table.slice(cut).combine_chunks().to_batches()
         if held:
-            yield settle(pa.Table.from_batches(held))
-
-    ranged = "key bigint, span bigint, ranges array<struct<a:bigint,b:bigint>>"
-    marks = [known.where("n > 1").select("key", "span", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("ranges"))]
-    sizes = {r[0] for r in known.where("spans > 1 and least = 1").select((F.col("spans") > hot).alias("h")).distinct().collect()}
-    if False in sizes:
-        marks.append(contexts.where(F.col("spans") <= hot).repartition(parts, "key").sortWithinPartitions("key", "span").mapInArrow(sort, ranged))
-    if True in sizes:
-        marks.append(_counted(contexts.where(F.col("spans") > hot).dropDuplicates(["key", "span"]), length, unit))
+            yield from settle(pa.Table.from_batches(held))
+
+    ranged = "unit bigint, key bigint, span bigint, ranges array<struct<a:bigint,b:bigint>>"
+    marks = [known.where("n > 1").select("unit", "key", "span", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("ranges"))]
+    sizes = {(r[0], r[1]) for r in known.where("spans > 1 and least = 1").select("unit", (F.col("spans") > hot).alias("h")).distinct().collect()}
+    if any(not h for _, h in sizes):
+        marks.append(contexts.where(F.col("spans") <= hot).repartition(parts, "unit", "key").sortWithinPartitions("unit", "key", "span").mapInArrow(sort, ranged))
+    marks += [_counted(contexts.where((F.col("spans") > hot) & (F.col("unit") == unit)), of[unit][0], unit) for unit, h in sorted(sizes) if h]
     found = marks[0]
     for m in marks[1:]:
         found = found.unionAll(m)
     found = stored(found, "marks")
     release(spark)
-    return anchors.join(found, ["key", "span"]).groupBy("r1", "r2").agg(F.collect_list(F.struct("key", "span", "ranges")).alias("marks"))
+    held = anchors.select("unit", "key", "span", "r1", "r2")
+    held = held.dropDuplicates() if repeats else held  # equal rows have the same anchors
+    return held.join(found, ["unit", "key", "span"]).groupBy("r1", "r2").agg(F.collect_list(F.struct("unit", "key", "span", "ranges")).alias("marks"))
 
 
 def _counted(contexts: DataFrame, length: int, unit: int) -> DataFrame:
-    """(key, span, ranges) of spans seen once, by counting every window; for keys of too many spans for one task."""
+    """(unit, key, span, ranges) of spans seen once, by counting every window; for keys of too many spans for one task."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,47 +342,49 @@ def _counted(contexts: DataFrame, length: int, unit: int) -> DataFrame:
 
     each = contexts.mapInArrow(windows, "key bigint, span bigint, n bigint, l bigint, h1 bigint, h2 bigint")
     often = each.groupBy("key", "h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return each.where("n = 1").join(often, ["key", "h1", "h2"]).groupBy("key", "span").agg(F.collect_list(F.struct(F.col("l").alias("a"), F.col("l").alias("b"))).alias("ranges"))
+    found = each.where("n = 1").join(often, ["key", "h1", "h2"]).groupBy("key", "span").agg(F.collect_list(F.struct(F.col("l").alias("a"), F.col("l").alias("b"))).alias("ranges"))
+    return found.select(F.lit(unit).cast("bigint").alias("unit"), "key", "span", "ranges")
 
 
 def removed(text: bytes, marks: list[dict], length: int, kgram: int, unit: int = BYTE) -> np.ndarray:
-    """Mask of the units that go."""
-    found = Anchors([text], length, kgram, unit)
+    """Mask of the units that go, by the marks of that unit."""
     edge = np.zeros(len(text) // unit + 1, np.int64)
-    by = {(m["key"] & 0xFFFFFFFFFFFFFFFF, m["span"] & 0xFFFFFFFFFFFFFFFF): m["ranges"] for m in marks}
-    for key, span, at, first, last in zip(found.key.tolist(), found.span.tolist(), found.at.tolist(), found.first.tolist(), found.last.tolist(), strict=True):
-        if (key, span) not in by:
-            continue
-        ranges = by[key, span]
-        for a, b in [(first, last)] if ranges is None else [(at - r["b"], at - r["a"]) for r in ranges]:
-            edge[a] += 1
-            edge[b + length] -= 1
+    by = {(m["key"] & 0xFFFFFFFFFFFFFFFF, m["span"] & 0xFFFFFFFFFFFFFFFF): m["ranges"] for m in marks if m["unit"] == unit}
+    if by:
+        found = Anchors([text], length, kgram, unit)
+        for key, span, at, first, last in zip(found.key.tolist(), found.span.tolist(), found.at.tolist(), found.first.tolist(), found.last.tolist(), strict=True):
+            if (key, span) not in by:
+                continue
+            ranges = by[key, span]
+            for a, b in [(first, last)] if ranges is None else [(at - r["b"], at - r["a"]) for r in ranges]:
+                edge[a] += 1
+                edge[b + length] -= 1
     return np.cumsum(edge)[:-1] > 0
 
 
-def removed_words(text: bytes, marks: list[dict], words: int) -> np.ndarray:
-    """Mask of the bytes of the words that go, and of the spaces between them."""
-    hashes, start, end = next(word_units([text]))
-    gone = np.diff(removed(hashes.tobytes(), marks, words, min(words, WORD_KGRAM), WORD).view(np.int8), prepend=0, append=0)
+def removed_words(text: bytes, marks: list[dict], words: int) -> tuple[np.ndarray, int]:
+    """(mask of the bytes of the words that go, and of the spaces between them; how many words go)."""
     mask = np.zeros(len(text), bool)
+    if not any(m["unit"] == WORD for m in marks):
+        return mask, 0
+    hashes, start, end = next(word_units([text]))
+    which = removed(hashes.tobytes(), marks, words, min(words, WORD_KGRAM), WORD)
+    gone = np.diff(which.view(np.int8), prepend=0, append=0)
     for a, b in zip(np.flatnonzero(gone == 1).tolist(), np.flatnonzero(gone == -1).tolist(), strict=True):
         mask[start[a] : end[b - 1]] = True
-    return mask
+    return mask, int(which.sum())
 
 
 def _marked(docs: DataFrame, columns: list[str], made: str, row: Callable, length: int, kgram: int, hot: int, id_col: str, text_col: str, words: int = 0) -> DataFrame:
-    """columns of docs and what row(text, mask or None) makes of each. words: least words of a passage that goes whatever its length; 0: none."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    who = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    """columns of docs and what row(text, mask or None of the bytes, mask of the words' bytes or None, words that go) makes of each. words: least words of a passage that goes whatever its length; 0: none."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    who = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     rest = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(1).alias("_"))
     rows = docs.select(F.xxhash64(who, text).alias("r1"), F.xxhash64(text, F.lit("rows")).alias("r2"), text.alias("text"), rest.alias("rest"))
+    kinds = ((BYTE, length, kgram), *(((WORD, words, min(words, WORD_KGRAM)),) if words else ()))
     with scratch(docs.sparkSession) as kept:
-        marks = kept(_verdicts(rows.select("r1", "r2", "text"), length, kgram, hot, BYTE))
-    if words:
-        with scratch(docs.sparkSession) as kept:
-            more = kept(_verdicts(rows.select("r1", "r2", "text"), words, min(words, WORD_KGRAM), hot, WORD).withColumnRenamed("marks", "word_marks"))
-        marks = marks.join(more, ["r1", "r2"], "full")
-    joined = rows.join(marks, ["r1", "r2"], "left").select("rest", "text", "marks", *(["word_marks"] if words else []))
+        marks = kept(_verdicts(rows.select("r1", "r2", "text"), kinds, hot))
+    joined = rows.join(marks, ["r1", "r2"], "left").select("rest", "text", "marks")
     fields = [docs.schema[c] for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,12 +393,7 @@ def _marked(docs: DataFrame, columns: list[str], made: str, row: Callable, lengt
             out = []
             for i, t in enumerate(texts):
                 own = batch.column("marks")[i].as_py()
-                mask = removed(t, own, length, kgram) if own else None
-                own = batch.column("word_marks")[i].as_py() if words else None
-                if own:
-                    more = removed_words(t, own, words)
-                    mask = more if mask is None else mask | more
-                out.append(row(t, mask))
+                out.append(row(t, removed(t, own, length, kgram), *removed_words(t, own, words)) if own else row(t, None, None, 0))
             parts = [pa.array(list(x)) for x in zip(*out, strict=True)] if out else []
             if not out:
                 continue
@@ -395,23 +403,25 @@ def _marked(docs: DataFrame, columns: list[str], made: str, row: Callable, lengt
     return joined.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), made]))
 
 
-def digests(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_bytes, n_removed, n_spans (maximal removed runs) long and kept_sha256 string of each row."""
+def digests(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """id_col, n_bytes, n_removed, n_spans (maximal removed runs) long and kept_sha256 string of each row, as the strings of length bytes have it; and
+    n_passage_words long: how many of its words are in passages of that many words and more that stand more than once, however few their bytes."""
 
-    def row(text: bytes, mask: np.ndarray | None):
+    def row(text: bytes, mask: np.ndarray | None, by_words: np.ndarray | None, n: int):
         if mask is None:
-            return len(text), 0, 0, hashlib.sha256(text).hexdigest()
+            return len(text), 0, 0, hashlib.sha256(text).hexdigest(), 0
         runs = int(np.count_nonzero(np.diff(mask.view(np.int8), prepend=0) == 1))
-        return len(text), int(mask.sum()), runs, hashlib.sha256(np.frombuffer(text, np.uint8)[~mask].tobytes()).hexdigest()
+        return len(text), int(mask.sum()), runs, hashlib.sha256(np.frombuffer(text, np.uint8)[~mask].tobytes()).hexdigest(), n
 
-    return _marked(docs, [id_col], "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", row, length, kgram, hot, id_col, text_col)
+    made = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint"
+    return _marked(docs, [id_col], made, row, length, kgram, hot, id_col, text_col, words)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", out_col: str = "_kept", words: int = 0) -> DataFrame:
     """docs, each row with its remaining text in out_col, which replaces a column of that name; of characters that are cut in two nothing is left.
     words: a passage of so many words that stands more than once goes too, however few its bytes; 0: bytes alone count."""
 
-    def row(text: bytes, mask: np.ndarray | None):
-        return (text.decode(errors="replace") if mask is None else np.frombuffer(text, np.uint8)[~mask].tobytes().decode(errors="ignore"),)
+    def row(text: bytes, mask: np.ndarray | None, by_words: np.ndarray | None, n: int):
+        return (text.decode(errors="replace") if mask is None else np.frombuffer(text, np.uint8)[~(mask | by_words)].tobytes().decode(errors="ignore"),)
 
     return _marked(docs, [c for c in docs.columns if c != out_col], f"{out_col} string", row, length, kgram, hot, id_col, text_col, words)

@@ -71,7 +71,7 @@ def test_suffix_dedup(spark, length, kgram, hot):
         edit[rng.randrange(len(edit))] = "x"
         rows.append((i, a if x < 0.3 else "".join(edit) if x < 0.6 else a[rng.randint(0, len(a)) :][:90] + b[:70] if x < 0.85 else "ab" * rng.randint(0, 99) if x < 0.95 else rng.choice([None, ""])))
     rows += rows[:3]
-    got = suffix.digests(spark.createDataFrame(rows, DOCS), length, kgram, hot).collect()
+    got = suffix.digests(spark.createDataFrame(rows, DOCS), length, kgram, hot).drop("n_passage_words").collect()
     assert sorted(map(tuple, got)) == removed_plainly(rows, length)
 
 
@@ -497,3 +497,47 @@ def test_columns_of_new_names_are_replaced(spark, vocabulary):
     assert bpe.encode(docs.withColumnRenamed("lang_pred", "bpe_ids"), *vocabulary).where("doc_id = 1").first().bpe_ids[0] >= 0
     with pytest.raises(ValueError, match="at once"):
         bpe.encode(docs.withColumnRenamed("text", "bpe_ids"), *vocabulary, text_col="bpe_ids")
+
+
+def test_copies_without_ids_and_short_passages(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    passage = " ".join(word() for _ in range(55))
+    assert len(passage) < suffix.LENGTH
+    rows = [(None, passage + " " + passage)] * 400 + [(i, " ".join(word() for _ in range(40)) + " " + passage + " " + word()) for i in range(3)]
+    rows += [(10, " ".join(word() for _ in range(200))), (11, passage.rpartition(" ")[0].split(" ", 6)[6]), (12, None)]
+    got = suffix.digests(spark.createDataFrame(rows, DOCS)).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and sum(r.n_removed == r.n_bytes > 0 and r.n_passage_words == 110 for r in got if r.doc_id is None) == 400
+    assert [by[i].n_passage_words for i in range(3)] == [55] * 3 and [by[i].n_removed for i in range(3)] == [0] * 3
+    assert [by[i].n_passage_words for i in (10, 11, 12)] == [0, 0, 0]
+
+
+def test_jaccard_links_rows_without_ids(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    near = lambda i: " ".join([*base[:i], "other", *base[i + 1 :]])
+    rows = [(None, near(119)), (7, near(0)), (9, near(118)), (None, "some other text of its own words"), (9, "a text that only shares an id with one")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 7), (7, 7), (9, 7), (9, 9)]
+    docs = spark.createDataFrame([*rows, rows[4], (3, None), (3, None)], DOCS).withColumn("_jaccard", F.lit(1))
+    left = sorted((r.doc_id or -1, r.text or "") for r in jaccard.one_of_each(docs).collect())
+    assert left == sorted([(-1, rows[3][1]), (7, rows[1][1]), (9, rows[4][1]), (3, ""), (3, "")])
+
+
+def test_jaccard_deals_keys_in_two_steps(spark):
+    rng = random.Random(6)
+    sets = [[rng.randint(0, 400) for _ in range(60)] for _ in range(60)]
+    rows = [(i, " ".join(f"w{x}" for x in s)) for i, s in enumerate(sets + [[*s[:-1], 999] for s in sets])]
+    named = jaccard.classes(spark.createDataFrame(rows, DOCS), 2, 60, "doc_id", "text")
+    plain = sorted((r.key, r["class"]) for r in jaccard._keys(named).collect())
+    assert plain and plain == sorted((r.key, r["class"]) for r in jaccard._keys(named, ways=2, bucket_bytes=2000).collect())
+    often = Counter(k for r in named.collect() for k in np.frombuffer(r["keys"], np.int64).tolist())
+    assert {k for k, _ in plain} == {k for k, n in often.items() if n > 1} and len(plain) == sum(n for n in often.values() if n > 1)
+
+
+def test_decontamination_without_hits_at_first_and_clashing_names(spark):
+    rows = [(i, "clean words only") for i in range(3000)] + [(3000, "an item of the benchmark stands here in full")]
+    items = spark.createDataFrame([("q", "an item of the benchmark")], "id string, text string")
+    got = decontam.contaminated(spark.createDataFrame(rows, "id long, text string").coalesce(1), items, doc_id="id", item_id="id").collect()
+    assert [(r.id, r.item_id, r.distance) for r in got] == [(3000, "q", 0)]
