@@ -12,8 +12,6 @@ from quire.llm import bpe, decontam, jaccard, langid, suffix
 from quire.llm.common import crc32_bucket, small_batches, stored
 from quire.llm.queries import VOCABULARY
 
-#: Passages of over 50 words that repeat go, however short their words; op1's bytes alone would leave most of 51 to 64 words.
-WORDS = 51
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every byte of a passage of WORDS words or more, or of 400 bytes, that stands more than once goes; n_chars follows the text. All rows stay, an emptied one with an empty text; null stays null."""
+    """Every byte of a passage of over 50 words, or of 400 bytes, that stands more than once goes; n_chars follows the text. All rows stay, an emptied one with an empty text; null stays null."""
     small_batches(spark)
-    kept = suffix.dedup(docs, out_col="_pipeline_kept", words=WORDS)
+    kept = suffix.dedup(docs, out_col="_pipeline_kept", words=suffix.WORDS)
     new = {"text": F.when(F.col("text").isNull(), None).otherwise(F.col("_pipeline_kept")), "n_chars": F.length("_pipeline_kept").cast("bigint")}
     return kept.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
