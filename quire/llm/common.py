@@ -7,6 +7,7 @@ megabyte, so that the memory of a task depends neither on the batch nor on the p
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -140,9 +141,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 
 def release(spark) -> None:
-    """Lets Spark delete the shuffle files of plans that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that are done. Listeners hold a plan for a moment after its end, so the garbage is collected twice."""
+    for pause in (0.2, 0.3):
+        time.sleep(pause)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

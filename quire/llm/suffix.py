@@ -247,8 +247,8 @@ def _verdicts(docs: DataFrame, kinds: tuple[tuple[int, int, int], ...], hot: int
     anchors = stored(docs.mapInArrow(emit, "unit bigint, key bigint, span bigint, r1 bigint, r2 bigint, n bigint"), "anchors")
     repeats = not docs.groupBy("r1", "r2").count().where("count > 1").isEmpty()
     spans = anchors.groupBy("unit", "key", "span").agg(F.sum("n").alias("n"), F.min(F.struct("r1", "r2")).alias("at"))
-    keys = spans.groupBy("unit", "key").agg(F.count("*").alias("spans"), F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1").drop("all")
-    known = stored(spans.join(keys, ["unit", "key"]), "spans")
+    of_key = {c: F.expr(f"{x} over (partition by unit, key)") for c, x in (("spans", "count(*)"), ("all", "sum(n)"), ("least", "min(n)"))}
+    known = stored(spans.withColumns(of_key).where("all > 1").drop("all"), "spans")
     release(spark)
     wanted = known.where("spans > 1 and least = 1").groupBy("at.r1", "at.r2").agg(F.collect_list(F.struct("unit", "key", "span", "n", "spans")).alias("wanted"))
 
