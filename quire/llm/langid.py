@@ -1,18 +1,18 @@
 """Language ID by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built. A text is parsed greedily into the longest
-phrases that occur in that text; the fewer phrases a symbol needs, the closer the language. Parsing reads the automaton as one table:
-where a state has no step on a symbol, a phrase ends and the step starts again at the root. Blocks of
+phrases that occur in that text; the fewer phrases a symbol needs, the closer the language. Parsing reads the automaton as one table, or, where a language has
+more than DENSE symbols, as its sorted steps: where a state has no step on a symbol, a phrase ends and the step starts again at the root. Blocks of
 BLOCK symbols (no phrase crosses their ends) are parsed side by side, so numpy takes one symbol of thousands of blocks at once.
 
-Symbols are lower-case letters; anything else, in runs of any length, is one space.
-Null texts and texts without a letter are ``und`` with score 0. The score is 1 - (phrases of the best language) / (phrases of the next), 1 if only one language is known.
-Ties go to the language that comes first by name. Labels of null are not learned; with no labelled text everything is ``und``.
+Symbols are lower-case letters, every letter of any script its own; anything else, in runs of any length, is one space. A letter that a language's text lacks is a phrase of its own.
+Learned are whole languages of few documents and pieces from all over the texts of a share of the others, SAMPLE_SYMBOLS a language (fewer with more than 64 languages, so that the
+whole model keeps its bound). Null texts and texts without a letter are ``und`` with score 0. The score is 1 - (phrases of the best language) / (phrases of the next), 1 if only one
+language is known. Ties go to the language that comes first by name. Labels of null are not learned; with no labelled text everything is ``und``.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,33 +25,59 @@ from pyspark.sql import types as T
 from quire.llm.common import chunks
 
 BLOCK = 256
-#: Letters with symbols of their own; 0 is the space, 1 any other letter, the last one the padding.
-LETTERS = 45
-ALPHABET = LETTERS + 3
-#: The bound on what is learned: documents of a language that are gathered, and symbols of them that its automaton takes.
-SAMPLE_DOCS, SAMPLE_SYMBOLS, LANGUAGES = 200, 40_000, 64
+#: Symbols of a language up to which its automaton is a table.
+DENSE = 96
+#: The bound on what is learned: documents of a language that are gathered, symbols of them that its automaton takes, symbols of all languages, and languages.
+SAMPLE_DOCS, SAMPLE_SYMBOLS, ALL_SYMBOLS, LANGUAGES = 200, 40_000, 64 * 40_000, 4096
+
+
+@dataclass
+class Automaton:
+    """The suffix automaton of a language. alphabet: its symbols; own: symbol of each of the model's symbols, or None if they are the same."""
+
+    alphabet: int
+    own: np.ndarray | None
+    root: np.ndarray  # symbol -> next state * 2 + 1: a phrase starts
+    table: np.ndarray | None  # state * alphabet + symbol -> next state * 2 + (1 if a phrase starts)
+    keys: np.ndarray | None  # state * alphabet + symbol of each step, sorted
+    to: np.ndarray | None
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Next state * 2 + (1 if a phrase starts)."""
+        if self.own is not None:
+            column = self.own[column]
+        if self.table is not None:
+            return self.table[state * self.alphabet + column]
+        asked = state.astype(np.int64) * self.alphabet + column
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return np.where((self.keys[at] == asked) & (state > 0), self.to[at], self.root[column])
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbols: np.ndarray  # code point -> symbol
-    tables: list[np.ndarray]  # state * ALPHABET + symbol -> next state * 2 + (1 if a phrase starts)
+    symbols: np.ndarray  # code point -> symbol: 0 the space, 1 a letter that no language has, the last one (not in here) the padding
+    tables: list[Automaton]
 
 
 def symbol_table(texts: list[str]) -> np.ndarray:
-    """The most frequent letters, ties by code point, get symbols of their own."""
-    seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    table = np.zeros(0x110000, np.uint8)
+    """Each letter gets a symbol, in the order of code points."""
+    table = np.zeros(0x110000, np.uint32)
     letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     table[letters] = 1
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
+    for i, c in enumerate(sorted({c for t in texts for c in t.lower() if c.isalpha()})):
         table[ord(c)] = 2 + i
     return table
 
 
-def automaton(symbols: np.ndarray) -> np.ndarray:
-    """The parsing table of the suffix automaton of symbols."""
+def automaton(symbols: np.ndarray, alphabet: int) -> Automaton:
+    """The automaton of symbols, of which alphabet - 1 is the padding."""
+    own = None
+    if alphabet > DENSE:
+        have = np.unique(symbols[symbols > 1])
+        own = np.ones(alphabet, np.int64)
+        own[0], own[have], own[alphabet - 1] = 0, np.arange(len(have)) + 2, len(have) + 2
+        symbols, alphabet = own[symbols], len(have) + 3
     steps: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -77,15 +103,18 @@ def automaton(symbols: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    root = np.ones(ALPHABET, np.int32)
+    root = np.ones(alphabet, np.int32)
     for c, to in steps[0].items():
         root[c] = to * 2 + 1
-    root[ALPHABET - 1] = 0
+    root[alphabet - 1] = 0
+    if alphabet > DENSE:
+        edges = sorted((state * alphabet + c, to * 2) for state, each in enumerate(steps[1:], 1) for c, to in each.items()) or [(-1, 0)]
+        return Automaton(alphabet, own, root, None, np.array([k for k, _ in edges], np.int64), np.array([to for _, to in edges], np.int32))
     table = np.tile(root, (len(steps), 1))
-    for state, own in enumerate(steps[1:], 1):  # at the root a phrase starts with any step
-        for c, to in own.items():
+    for state, each in enumerate(steps[1:], 1):  # at the root a phrase starts with any step
+        for c, to in each.items():
             table[state, c] = to * 2
-    return table.ravel()
+    return Automaton(alphabet, own, root, table.ravel(), None, None)
 
 
 def normalised(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,15 +130,19 @@ def normalised(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def train(samples: dict[str, list[str]]) -> Model:
-    """samples: labelled texts by language."""
+    """samples: labelled texts by language. Of each text an equal share is learned, whole texts if they are no longer."""
     languages = sorted(samples)
-    table = symbol_table([t[:SAMPLE_SYMBOLS] for x in languages for t in samples[x]])
+    most = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(languages)))
+    table = symbol_table([t for x in languages for t in samples[x]])
+    alphabet = int(table.max()) + 2
     tables = []
     for language in languages:
         symbols, first = normalised(samples[language], table)
-        share = max(256, SAMPLE_SYMBOLS // max(1, len(samples[language])))
-        parts = [symbols[a : min(b, a + share)] for a, b in zip(first[:-1], first[1:], strict=True)]
-        tables.append(automaton(np.concatenate([*parts, np.zeros(1, np.uint8)])[:SAMPLE_SYMBOLS]))
+        left, parts = most, []
+        for i, (a, b) in enumerate(sorted(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), key=lambda x: x[1] - x[0])):  # what short texts leave goes to longer ones
+            parts.append(symbols[a : min(b, a + left // (len(first) - 1 - i))])
+            left -= len(parts[-1])
+        tables.append(automaton(np.concatenate([*parts, np.zeros(1, table.dtype)]).astype(np.int64), alphabet))
     return Model(languages, table, tables)
 
 
@@ -124,7 +157,7 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.minimum(BLOCK, np.repeat(first[1:], blocks) - start)
     order = np.argsort(-size, kind="stable")
     start, size, owner = start[order], size[order], owner[order]
-    padded = np.concatenate([symbols, np.full(BLOCK, ALPHABET - 1, np.uint8)])
+    padded = np.concatenate([symbols, np.full(BLOCK, int(model.symbols.max()) + 1, symbols.dtype)])
     counts = np.zeros((len(texts), len(model.languages)), np.int64)
     live = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # blocks longer than t come first
     steps = [padded[start[: live[t]] + t].astype(np.int32) for t in range(BLOCK) if live[t]]
@@ -133,7 +166,7 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         started = np.zeros(len(start), np.int32)
         for column in steps:
             n = len(column)
-            at = table[state[:n] * ALPHABET + column]
+            at = table.step(state[:n], column)
             started[:n] += at & 1
             state[:n] = at >> 1
         counts[:, k] = np.bincount(owner, started, len(texts)).astype(np.int64)
@@ -141,25 +174,36 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Learns from the rows of df with a language and a text. All rows of small languages are learned; of larger ones a share, chosen by a hash of the id,
-    that leaves about SAMPLE_DOCS; at most LANGUAGES languages are allowed."""
-    known = df.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != ""))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(LANGUAGES + 1).collect()}
+    """Learns from the rows of df with a language and a text. All rows of small languages are learned; of larger ones a share, chosen by a hash of id and text,
+    that leaves about SAMPLE_DOCS, and of each a piece from anywhere in its text, chosen by the same hash; equal rows count once. At most LANGUAGES languages are allowed."""
+    lang, text, id_ = F.col(f"`{lang_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`").cast("string")
+    known = df.select(lang.alias("lang"), text.alias("t"), id_.alias("i")).where(F.col("lang").isNotNull() & (F.col("lang") != ""))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
         return train({})
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 20))
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 20) * min(1.0, SAMPLE_DOCS / n)) + 1))))
-    picked = known.where(place < share[F.col(lang_col)]).select(lang_col, F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 4 * SAMPLE_SYMBOLS // 10).alias("t"), place.alias("p"), F.col(id_col).alias("i"))
-    samples: dict[str, list[tuple]] = {k: [] for k in counts}
-    for row in picked.limit(4 * SAMPLE_DOCS * len(counts)).collect():
-        samples[row[0]].append((row["p"], str(row["i"]), row["t"]))
-    return train({k: [t for _, _, t in sorted(v)] for k, v in samples.items() if v})
+    most = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // len(counts))
+    each = spark_map({k: 4 * max(256, most // min(n, SAMPLE_DOCS)) for k, n in counts.items()})[F.col("lang")]
+    share = spark_map({k: int((1 << 20) * min(1.0, SAMPLE_DOCS / n)) + 1 for k, n in counts.items()})[F.col("lang")]
+    drawn = known.withColumn("h", F.xxhash64("i", "t", F.lit("langid")))
+    piece = F.col("t").substr(F.pmod(F.shiftrightunsigned("h", 20), F.greatest(F.length("t") - each + 1, F.lit(1))).cast("int") + 1, each)
+    drawn = drawn.select("lang", F.pmod("h", F.lit(1 << 20)).alias("p"), "i", piece.alias("t"))
+    samples: dict[str, list[tuple]] = {}
+    for row in drawn.where(F.col("p") < share).distinct().limit(4 * SAMPLE_DOCS * len(counts)).collect():
+        samples.setdefault(row[0], []).append((row["p"], row["i"] or "", row["t"]))
+    if missed := [k for k in counts if k not in samples]:  # few different rows, none drawn
+        for row in drawn.where(F.col("lang").isin(missed)).groupBy("lang").agg(F.min(F.struct("p", "i", "t")).alias("r")).collect():
+            samples[row[0]] = [(row["r"]["p"], row["r"]["i"] or "", row["r"]["t"])]
+    return train({k: [t for _, _, t in sorted(v)] for k, v in samples.items()})
+
+
+def spark_map(values: dict) -> Column:
+    return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v))))
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """df with the predicted language and its score, which replace columns of their names. The tables (under 10 MB a language, LANGUAGES at most) go to the workers as one broadcast."""
+    """df with the predicted language and its score, which replace columns of their names. The tables (under 31 MB a language, and 2 GB with any number of them; a tenth with few symbols) go to the workers as one broadcast."""
     df = df.drop(lang_out, score_out)
     sent = df.sparkSession.sparkContext.broadcast(model)
 

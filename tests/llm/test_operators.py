@@ -541,3 +541,27 @@ def test_decontamination_without_hits_at_first_and_clashing_names(spark):
     items = spark.createDataFrame([("q", "an item of the benchmark")], "id string, text string")
     got = decontam.contaminated(spark.createDataFrame(rows, "id long, text string").coalesce(1), items, doc_id="id", item_id="id").collect()
     assert [(r.id, r.item_id, r.distance) for r in got] == [(3000, "q", 0)]
+
+
+def test_language_id_of_many_scripts_and_languages(spark):
+    rng = random.Random(17)
+    scripts = {"ru": (0x430, 32), "el": (0x3B1, 24), "zh": (0x4E00, 900), "ja": (0x3041, 80), "ko": (0xAC00, 900), "en": (0x61, 26), "it": (0x61, 26)}
+    words_ = {k: ["".join(chr(a + rng.randrange(n)) for _ in range(rng.randint(1, 5))) for _ in range(150)] for k, (a, n) in scripts.items()}
+    text = lambda k, n: " ".join(rng.choice(words_[k]) for _ in range(n))
+    rows = [(i, text(k, 60), k) for i, k in enumerate([*scripts] * 12)] + [(None, text("ru", 50), "ru")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    asked = spark.createDataFrame([(i, text(k, 12), k) for i, k in enumerate([*scripts] * 10)], "doc_id long, text string, lang string")
+    assert all(r.lang == r.lang_pred and r.score > 0 for r in langid.predict(asked, model).collect())
+    assert any(a.table is None for a in model.tables)
+    many = {f"l{i:03}": [text("en", 3) + f" {''.join(chr(97 + (i * 7 + j * j) % 26) for j in range(12))}"] for i in range(100)}
+    assert len(langid.train(many).languages) == 100
+
+
+def test_sparse_and_dense_automata_agree(monkeypatch):
+    rng = random.Random(2)
+    train = {k: ["".join(rng.choice("abcde ") for _ in range(300))] for k in "pq"}
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 700))) for _ in range(20)]
+    dense = langid.phrases(langid.train(train), texts)[0].tolist()
+    monkeypatch.setattr(langid, "DENSE", 3)
+    assert langid.phrases(langid.train(train), texts)[0].tolist() == dense
