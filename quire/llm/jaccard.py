@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import chunks, components, dropped, mix, release, scratch, stored, utf8, words
 
 #: Keys of up to FEW sets give their pairs as rows; those of more go to tiles of TILE rows a side.
-FEW, TILE, FLUSH, PAIRS, BROADCAST_IDS = 64, 1024, 1 << 20, 1 << 16, 500_000
+FEW, TILE, FLUSH, PAIRS, BROADCAST_IDS = 64, 1024, 1 << 18, 1 << 16, 500_000
 #: Bytes of keys of a bucket, and buckets that a batch is dealt to at once.
 BUCKET_BYTES, WAYS = 8 << 20, 2048
 _STEP = np.uint64(0xA0761D6478BD642F)
@@ -254,9 +254,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, named: DataFrame, k: int, percent
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column("text"))
-            for at in range(0, len(texts), 256):
+            for at in range(0, len(texts), 128):
                 out: tuple[list, list] = ([], [])
-                for _, hashes in shingle_sets(texts[at : at + 256], k):
+                for _, hashes in shingle_sets(texts[at : at + 128], k):
                     if len(hashes):
                         out[0].append(class_id(hashes))
                         out[1].append(hashes.tobytes())
@@ -301,7 +301,8 @@ def _bounded(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
 
 
 def _tiled(rows: DataFrame, percent: int, tile: int, thin: bool) -> DataFrame:
-    """(a, b, share, more): pairs that pass the bitmaps, distinct. thin: of each tile only those that join its components; more: the key of a tile that left out others, else null.
+    """(a, b, share, more): pairs that pass the bitmaps, distinct. thin: of each tile only those that join its components; more is the key of a tile where a, in a row
+    without b, has pairs that were left out, else null.
     rows: key, class, component, n, bitmap of keys with several components."""
     own = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("bigint")
     homes = rows.withColumn("band", own)
@@ -316,9 +317,9 @@ def _tiled(rows: DataFrame, percent: int, tile: int, thin: bool) -> DataFrame:
         held: list[pa.RecordBatch] = []
         place = ["key", "band", "i", "j"]
 
-        def told(name: np.ndarray, x: np.ndarray, y: np.ndarray, share: np.ndarray, more: int | None) -> pa.RecordBatch:
+        def told(name: np.ndarray, x: np.ndarray, y: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
             a, b = np.minimum(name[x], name[y]), np.maximum(name[x], name[y])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(share), pa.array([more] * len(a), pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(share), pa.nulls(len(a), pa.int64())], schema=schema)
 
         def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
             ids = [table.column(c).to_numpy() for c in place]
@@ -334,26 +335,32 @@ def _tiled(rows: DataFrame, percent: int, tile: int, thin: bool) -> DataFrame:
                 at = np.arange(e - s)
                 left, right = at[home[s:e] & (side[s:e] == i)], at[side[s:e] == j]
                 sides = [(left, right)] if i == j else [(left, right), (at[home[s:e] & (side[s:e] == j)], at[side[s:e] == i])]
-                waiting, count, whole = [], 0, True
+                waiting, count, left_out = [], 0, np.zeros(e - s, bool)
+
+                def joined(last: bool) -> Iterator[pa.RecordBatch]:
+                    nonlocal waiting, count
+                    x, y, share = (np.concatenate(w) for w in zip(*waiting, strict=True))
+                    if thin:
+                        taken = forest(comp[s:e], x, y, share)
+                        left = np.ones(len(x), bool)
+                        left[taken] = False
+                        left_out[x[left]] = left_out[y[left]] = True
+                        x, y, share = x[taken], y[taken], share[taken]
+                    waiting, count = ([(x, y, share)], len(x)) if thin and not last else ([], 0)
+                    if last or not thin:
+                        yield told(name[s:e], x, y, share)
+
                 for one, other in sides:
                     for x, y, share in bounds(n[s:e], maps[s:e], comp[s:e], one, other, percent):
                         waiting.append((np.full(len(y), x), y, share))
                         count += len(y)
                         if count > PAIRS:
-                            x, y, share = (np.concatenate(w) for w in zip(*waiting, strict=True))
-                            if not thin:
-                                yield told(name[s:e], x, y, share, None)
-                                waiting, count = [], 0
-                                continue
-                            taken = forest(comp[s:e], x, y, share)
-                            waiting, count, whole = [(x[taken], y[taken], share[taken])], len(taken), False
+                            yield from joined(False)
                 if waiting:
-                    x, y, share = (np.concatenate(w) for w in zip(*waiting, strict=True))
-                    if thin:
-                        taken = forest(comp[s:e], x, y, share)
-                        whole = whole and len(taken) == len(x)
-                        x, y, share = x[taken], y[taken], share[taken]
-                    yield told(name[s:e], x, y, share, None if whole else int(ids[0][s]))
+                    yield from joined(True)
+                if left_out.any():
+                    again = name[s:e][left_out]
+                    yield pa.RecordBatch.from_arrays([pa.array(again), pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.float64()), pa.array(np.full(len(again), ids[0][s]))], schema=schema)
 
         for batch in batches:
             if batch.num_rows:
@@ -431,13 +438,14 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
         passed = _bounded(stored(_few(rows.where(F.col("rows") <= few), percent), "few", small=True), named, percent)
         proposed = stored(_tiled(large.join(maps, "class"), percent, tile, thin=True), "proposed", small=True)
         release(spark)
+        joins = proposed.where("more is null").select("a", "b")
         likeliest = [passed.groupBy(c).agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b") for c in ("a", "b")]
-        first = stored(likeliest[0].union(likeliest[1]).union(proposed.select("a", "b")).distinct(), "first", small=True)
+        first = stored(likeliest[0].union(likeliest[1]).union(joins).distinct(), "first", small=True)
         links = links.union(verified(first))
         found = components(links)
         rest = _apart(passed.join(first, ["a", "b"], "left_anti"), found)
-        more = proposed.select(F.col("more").alias("key")).where("key is not null").distinct()
-        again = large.select("key", "class", "n").join(_few_first(more), "key", "left_semi")
+        more = proposed.where("more is not null").select(F.col("more").alias("key"), F.col("a").alias("class")).distinct()
+        again = large.select("key", "class", "n").join(_few_first(more), ["key", "class"], "left_semi")
         if not again.isEmpty():
             rest = rest.union(_apart(_tiled(_owned(again, found).join(maps, "class"), percent, tile, thin=False).select("a", "b", "share"), found))
         rest = stored(rest.select("a", "b").distinct(), "rest", small=True)
