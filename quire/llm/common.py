@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators.
 
-Text leaves Arrow as UTF-8 bytes, null as empty; numpy work runs over chunks of about a
-megabyte, so that the memory of a task depends neither on the batch nor on the partition.
+Text leaves Arrow as UTF-8 bytes, null as empty; numpy work runs over chunks of a quarter
+megabyte or so, so that the memory of a task depends neither on the batch nor on the partition.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 _SEED = np.random.default_rng(20240611)
 #: Multipliers of the polynomial hashes, both 5 mod 8.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -40,7 +40,7 @@ def powers(n: int, base: int = 0, inverse: bool = False) -> np.ndarray:
         step = np.full(size, (INVERSES if inverse else BASES)[base], np.uint64)
         step[0] = 1
         have = np.multiply.accumulate(step)
-        if size <= 64 << 20:
+        if size <= 1 << 20:  # what a worker keeps
             _powers[base, inverse] = have
     return have[:n]
 

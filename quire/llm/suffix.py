@@ -34,7 +34,7 @@ BYTE, WORD = 1, 8
 #: Windows of a text that are looked at together; of a longer text, pieces overlap by LENGTH - 1 bytes.
 PIECE = 4 << 20
 #: Contexts that are sorted together, if no group is larger.
-GATHER = 4096
+GATHER = 1024
 
 
 def word_units(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -255,11 +255,11 @@ def _verdicts(docs: DataFrame, kinds: tuple[tuple[int, int, int], ...], hot: int
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column("text"))
-            for a in range(0, len(texts), 256):
-                wants = batch.column("wanted").slice(a, 256).to_pylist()
+            for a in range(0, len(texts), 128):
+                wants = batch.column("wanted").slice(a, 128).to_pylist()
                 out: dict[str, list] = {c: [] for c in ("unit", "key", "span", "n", "spans", "most", "least", "around")}
                 for unit, length, kgram in kinds:
-                    some = sequences(texts[a : a + 256], unit)
+                    some = sequences(texts[a : a + 128], unit)
                     found = Anchors(some, length, kgram, unit)
                     begin = np.searchsorted(found.row, np.arange(len(some) + 1))
                     for i, text in enumerate(some):
