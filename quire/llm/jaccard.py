@@ -309,7 +309,11 @@ def _tiled(rows: DataFrame, percent: int, tile: int, thin: bool) -> DataFrame:
     both = homes.withColumn("home", F.lit(True)).unionByName(homes.withColumn("band", F.col("band") + 1).withColumn("home", F.lit(False)))
     sizes = both.groupBy("key", "band").agg(F.count("*").alias("rows"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("home").alias("any")).where("rows > 1 and any and c1 <> c2").select("key", "band", F.ceil(F.col("rows") / tile).cast("int").alias("sides"))
     placed = both.join(sizes, ["key", "band"]).withColumn("side", F.pmod(F.xxhash64("class"), F.col("sides")).cast("int"))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select(F.col("key"), F.col("band"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "home", "class", "component", "n", "bitmap")
+    at = [F.col(c) for c in ("key", "band")]
+    rest = [F.col(c) for c in ("side", "home", "class", "component", "n", "bitmap")]
+    alone = placed.where("sides = 1").select(*at, F.lit(0).alias("i"), F.lit(0).alias("j"), *rest)  # one tile: no row is needed twice
+    spread = placed.where("sides > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    tiles = alone.unionAll(spread.select(*at, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), *rest))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64()), ("more", pa.int64())])
 
