@@ -111,17 +111,21 @@ def walk(data: bytes, start: int, end: int, path: tuple[bytes, ...] = ()) -> Ite
 
 
 def probe(data: bytes) -> Track:
-    """The first track with a sample table."""
-    track, tables = Track(), {}
+    """The first track with a sample table; each track has its own tables."""
+    tracks: list[tuple[Track, dict[bytes, tuple[int, int]]]] = []
     for path, start, stop in walk(data, 0, len(data)):
         kind = path[-1]
-        if kind in tables:
+        if kind == b"trak":
+            tracks.append((Track(), {}))
+        if not tracks or b"trak" not in path or kind in tracks[-1][1]:
             continue
+        track, tables = tracks[-1]
         if kind == b"mdhd":
             wide = data[start] == 1
             track.timescale, track.duration = struct.unpack_from(">IQ" if wide else ">II", data, start + (20 if wide else 12))
-        if len(path) > 1 and path[-2] == b"stbl" or kind == b"mdhd":
+        if path[-2] == b"stbl" or kind == b"mdhd":
             tables[kind] = (start, stop)
+    track, tables = next((x for x in tracks if b"stsz" in x[1]), (Track(), {}))
 
     def numbers(kind: bytes, at: int, form: str) -> list[int]:
         start, stop = tables[kind]
