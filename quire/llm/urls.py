@@ -3,7 +3,8 @@
 The urls that a rule judges are the labelled ones. Per host, a path is a way down a tree: a segment that is a number, a hash, a date or a long mixed token is
 its kind of wildcard at once; where a branch has many different children that few urls share, they become one wildcard; children whose
 labelled shares do not differ from those of their siblings by Z standard errors are merged. What remains are templates; each has a purity, its
-share of blocked urls smoothed towards PRIOR by ALPHA urls, and is rejected at REJECT or more.
+share of blocked urls smoothed by ALPHA urls towards its parent's, and that towards its own parent's, up to the host and PRIOR; it is rejected at REJECT or more. So a branch without
+labelled urls is judged by the nearest node above it that has some.
 
 A url that is null or has no ``://`` has an empty host and path; repeated rows are counted and judged as often as they stand.
 Of a path's segments the first LEVELS have nodes of their own, the rest are one node.
@@ -14,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import scratch, stored
 
 LEVELS, MANY, SHARED, Z, ALPHA, PRIOR, REJECT = 4, 24, 8, 1.96, 4.0, 0.5, 0.8
+RESULT = ("host", "path", "rule", "verdict", "template", "purity")
 #: (verdict, host, start of the path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Kinds of variable segments, the first that fits; the ending of a file name stays.
@@ -80,17 +82,32 @@ def templates(shapes: DataFrame, levels: int = LEVELS) -> DataFrame:
     return tree
 
 
+def purities(tree: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(host, template, purity): the blocked share of a template's labelled urls, smoothed towards that of the node above it by ALPHA urls, and so on up to the host, whose own is smoothed towards
+    PRIOR. A template without labelled urls has its parent's purity."""
+    each = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum(F.col("blocked") + F.col("allowed")).alias("l"))
+    parts = F.split("template", "/", levels + 2)
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+    ways = each.select("host", "template", "b", "l", F.posexplode(above).alias("level", "node"))
+    nodes = ways.groupBy("host", "level", "node").agg(F.sum("b").alias("node_b"), F.sum("l").alias("node_l"))
+    way = ways.join(nodes, ["host", "level", "node"]).groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("level", "node_b", "node_l"))).alias("way"))
+    down = F.aggregate("way", F.lit(float(PRIOR)), lambda p, x: (x["node_b"] + ALPHA * p) / (x["node_l"] + ALPHA))
+    return way.select("host", "template", down.alias("purity"))
+
+
 def judge(pages: DataFrame, rules=RULES, url_col: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The columns of keep, host, path, rule (null if none fits), verdict (allow or block), template and purity double (of the url's template; null for urls that a rule judges)."""
-    host, path = host_path(F.col(url_col))
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"))
+    """The columns of keep (but for those that have a result's name), host, path, rule (null if none fits), verdict (allow or block), template and purity double (of the url's template; null for
+    urls that a rule judges)."""
+    keep = tuple(c for c in keep if c not in RESULT)
+    host, path = host_path(F.col(f"`{url_col}`"))
+    rows = pages.select(host.alias("host"), path.alias("path"), *(F.col(f"`{c}`") for c in keep))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("_ruled", verdict).withColumn("shape", segments(F.col("path")))
-    shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("_ruled") == "block").alias("blocked"), F.count_if(F.col("_ruled") == "allow").alias("allowed"))
-    tree = templates(shapes)
-    pure = tree.groupBy("host", "template").agg(((F.sum("blocked") + ALPHA * PRIOR) / (F.sum(F.col("blocked") + F.col("allowed")) + ALPHA)).alias("purity"))
-    of = tree.select("host", "shape", "template").join(pure, ["host", "template"])
-    open_ = rows.where("rule is null").drop("_ruled", "rule")
-    judged = open_.join(of, ["host", "shape"], "left").select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("purity") >= REJECT, "block").otherwise("allow").alias("verdict"), "template", "purity")
-    by_rule = rows.where("rule is not null").select(*keep, "host", "path", "rule", F.col("_ruled").alias("verdict"), F.lit(None).cast("string").alias("template"), F.lit(None).cast("double").alias("purity"))
+    rows = rows.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("template", segments(F.col("path")))
+    shapes = rows.groupBy("host", F.col("template").alias("shape")).agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict") == "allow").alias("allowed"))
+    with scratch(pages.sparkSession) as kept:
+        tree = templates(shapes)
+        of = kept(tree.select("host", "shape", "template").join(purities(tree), ["host", "template"]).select("host", F.col("shape").alias("_shape"), F.col("template").alias("_template"), "purity"))
+    open_ = rows.where("rule is null").withColumnRenamed("template", "_shape")
+    judged = open_.join(of, ["host", "_shape"], "left").select(*keep, "host", "path", "rule", F.when(F.col("purity") >= REJECT, "block").otherwise("allow").alias("verdict"), F.col("_template").alias("template"), "purity")
+    by_rule = rows.where("rule is not null").select(*keep, "host", "path", "rule", "verdict", F.lit(None).cast("string").alias("template"), F.lit(None).cast("double").alias("purity"))
     return by_rule.unionByName(judged)

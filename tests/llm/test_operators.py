@@ -151,7 +151,7 @@ def test_url_templates_are_rejected_by_purity(spark):
     pages = [(i, f"http://h.io/ads/{i}?{'bad' if i < 30 else ''}") for i in range(40)] + [(100 + i, f"http://h.io/news/{i}") for i in range(40)]
     rules = (("block", "h.io", "/ads/1"), ("block", "h.io", "/ads/2"), ("allow", "h.io", "/news/1"))
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
-    assert got[35].verdict == "block" and got[35].template == "/ads/<number>" and got[35].purity == pytest.approx(24 / 26, abs=0.05)
+    assert got[35].verdict == "block" and got[35].template == "/ads/<number>" and got[35].purity == pytest.approx((22 + 4 * (22 + 4 * 24 / 37) / 26) / 26)
     assert got[102].verdict == "allow"
 
 
@@ -565,3 +565,40 @@ def test_sparse_and_dense_automata_agree(monkeypatch):
     dense = langid.phrases(langid.train(train), texts)[0].tolist()
     monkeypatch.setattr(langid, "DENSE", 3)
     assert langid.phrases(langid.train(train), texts)[0].tolist() == dense
+
+
+def test_purity_backs_off_along_the_tree(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(120):
+        parts = [rng.choice(["a", "b", "c"]) for _ in range(rng.randint(0, 4))]
+        rows.append((f"h{i % 3}", "".join(f"/{p}" for p in parts), rng.randint(0, 3), rng.choice([0, 0, 2])))
+    tree = spark.createDataFrame(rows, "host string, template string, blocked long, allowed long")
+    got = {(r.host, r.template): r.purity for r in urls.purities(tree).collect()}
+
+    def plainly(host, template):
+        p, parts = urls.PRIOR, template.split("/")
+        for k in range(1, len(parts) + 1):
+            node = "/".join(parts[:k])
+            below = [(b, a) for h, t, b, a in rows if h == host and (t == node or t.startswith(node + "/"))]
+            p = (sum(b for b, _ in below) + urls.ALPHA * p) / (sum(a + b for b, a in below) + urls.ALPHA)
+        return p
+
+    assert len(got) == len({r[:2] for r in rows}) and all(v == pytest.approx(plainly(*k)) for k, v in got.items())
+    pages = [(i, f"http://bad.net/es/x{i}") for i in range(40)] + [(100, "http://bad.net/other"), (101, "http://good.org/other"), (102, None)]
+    judged = {r.page_id: (r.verdict, r.rule) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit("own")), keep=("page_id", "host")).collect()}
+    assert judged[100] == ("block", None) and judged[101] == judged[102] == ("allow", None) and judged[0] == ("block", "net/es/")
+
+
+def test_media_tables_of_two_tracks():
+    whole = media.pack(media.pad(b"abc" * 900))
+    boxes = {p: (a, b) for p, a, b in media.walk(whole, 0, len(whole))}
+    moov, trak = next(k for k in boxes if k[-1] == b"moov"), next(k for k in boxes if k[-1] == b"trak")
+    own = whole[boxes[trak][0] - 8 : boxes[trak][1]]
+    empty = (8).to_bytes(4, "big") + b"trak"
+    a, b = boxes[moov]
+    for first, second in ((empty, own), (own, own)):
+        inner = whole[a : boxes[trak][0] - 8] + first + second + whole[boxes[trak][1] : b]
+        both = whole[: a - 8] + (len(inner) + 8).to_bytes(4, "big") + b"moov" + inner + whole[b:]
+        track, alone = media.probe(both), media.probe(whole)
+        assert (track.codec, track.duration, len(track.samples), track.keys) == (alone.codec, alone.duration, len(alone.samples), alone.keys)
