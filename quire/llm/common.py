@@ -141,8 +141,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 
 def release(spark) -> None:
-    """Lets Spark delete the shuffle files of plans that are done. Listeners hold a plan for a moment after its end, so the garbage is collected twice."""
-    for pause in (0.2, 0.3):
+    """Lets Spark delete the shuffle files of plans that are done. Listeners hold a plan for a moment after its end, so on a cluster the garbage is collected twice."""
+    for pause in (0,) if spark.sparkContext.master.startswith("local[") else (0.2, 0.3):
         time.sleep(pause)
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -11,6 +11,8 @@ Ties in containment go to the earliest window.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +60,13 @@ def bands(window: Column) -> Column:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, license, containment double, first_word int, n_windows long): each document and template of which CONTAINED of the shingles or more stand in one window;
-    first_word: of the best window. templates: name to text, at most 10,000 (they are literals of the plan)."""
+    first_word: of the best window. templates: name to text, of WORDS words at least (a shorter one is an error), at most 10,000 (they are literals of the plan)."""
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
+    if short := [k for k, v in templates.items() if len(re.findall("[a-z0-9]+", v.lower())) < WORDS]:
+        raise ValueError(f"templates of fewer than {WORDS} words: {', '.join(short)}")
     known = spark.createDataFrame([(k, v) for k, v in templates.items()], "license string, body string")
-    known = known.withColumn("w", words(F.col("body"))).where(F.size("w") >= WORDS).select("license", F.size("w").alias("n"), F.array_distinct(shingles(F.col("w"))).alias("own"), bands(shingles(F.col("w"))).alias("bands"))
+    known = known.withColumn("w", words(F.col("body"))).select("license", F.size("w").alias("n"), F.array_distinct(shingles(F.col("w"))).alias("own"), bands(shingles(F.col("w"))).alias("bands"))
     rows = known.select("license", "n", "own").collect()  # as many as templates
     if not rows or len(rows) > 10_000:
         if rows:
