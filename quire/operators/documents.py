@@ -26,10 +26,10 @@ def info(files: DataFrame) -> DataFrame:
     return pdf_plans.info(pdf.parsed(p, ())).unionByName(ofd_plans.info(ofd.parsed(o, ("resources", "seals"))), allowMissingColumns=True)
 
 
-def validate(files: DataFrame) -> DataFrame:
-    """(path, valid, errors, warnings)."""
+def validate(files: DataFrame, deep: bool = False) -> DataFrame:
+    """(path, valid, errors, warnings). deep: every object that a PDF's index names is looked up as well."""
     p, o = _by_format(files)
-    return pdf_plans.report(pdf.parsed(p, ("findings",))).unionByName(ofd_plans.report(ofd.parsed(o, ("resources", "seals"))))
+    return pdf_plans.report(pdf.parsed(p, ("findings", "objects") if deep else ("findings",)), deep).unionByName(ofd_plans.report(ofd.parsed(o, ("resources", "seals"))))
 
 
 def extract(files: DataFrame, page: int | None = None) -> DataFrame:

@@ -123,11 +123,14 @@ def findings(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", F.explode("findings").alias("f")).select("path", "f.*")
 
 
-def report(parsed: DataFrame) -> DataFrame:
-    """(path, valid, errors, warnings): the findings of all levels in order. A file that cannot be read is invalid."""
+def report(parsed: DataFrame, deep: bool = False) -> DataFrame:
+    """(path, valid, errors, warnings): the findings of all levels in order. A file that cannot be read is invalid. deep: an indexed object that stands nowhere is an error too."""
     found = F.coalesce("findings", F.array())
     of = lambda kind: F.transform(F.filter(found, lambda f: f["severity"] == kind), lambda f: f["message"])
     errors = F.when(F.col("findings").isNull(), F.array(F.coalesce("error", F.lit("not read")))).otherwise(of("error"))
+    if deep:
+        lost = F.filter(F.coalesce("objects", F.array()), lambda o: ~o["found"])
+        errors = F.concat(errors, F.transform(lost, lambda o: F.format_string("object %d not found", o["obj_num"])))
     return parsed.select("path", (F.size(errors) == 0).alias("valid"), errors.alias("errors"), of("warning").alias("warnings"))
 
 

@@ -366,6 +366,13 @@ def pdf_deep_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf_plans.deep_findings(pdf.parsed(papers(spark, sf_dir, _lost, "labels"), ("objects",))).select(key().alias("doc_id"), F.col("obj_num").cast("int").alias("obj_num"))
 
 
+@query("SELECT doc_id, (doc_id % 4 = 0) AS lost FROM labels")
+def pdf_validate_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verb's own deep switch."""
+    found = verbs.validate(papers(spark, sf_dir, _lost, "labels"), deep=True)
+    return found.select(key().alias("doc_id"), (F.array_contains("errors", "object 9 not found") & ~F.col("valid")).alias("lost"))
+
+
 @query(
     """SELECT l_orderkey, l_linenumber, (15 + sum(n) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS at
     FROM (SELECT l_orderkey, l_linenumber, sum(l_partkey % 100)::BIGINT AS n FROM lineitem GROUP BY ALL)"""

@@ -98,12 +98,23 @@ def encoded(data: bytes, name: str) -> bytes:
         return base64.a85encode(data) + b"~>"
     if name == "RunLengthDecode":
         return b"".join(bytes([len(p) - 1]) + p for p in (data[i : i + 128] for i in range(0, len(data), 128))) + b"\x80"
-    codes = [(256, 9)]
-    for i, b in enumerate(data):  # a clear before the table grows: codes stay at nine bits
-        if i % 200 == 199:
-            codes.append((256, 9))
-        codes.append((b, 9))
-    bits = "".join(f"{c:0{w}b}" for c, w in [*codes, (257, 9)])
+    codes, known, held = [(256, 9)], {}, b""
+    width = lambda entries: min(12, max(9, entries.bit_length()))
+    code = lambda x: x[0] if len(x) == 1 else known[x]
+    size = 258
+    for i in range(len(data)):
+        longer = held + data[i : i + 1]
+        if len(longer) == 1 or longer in known:
+            held = longer
+            continue
+        codes.append((code(held), width(size)))
+        known[longer], size, held = size, size + 1, longer[-1:]
+        if size == 4094:
+            codes.append((256, 12))
+            known, size = {}, 258
+    if held:
+        codes.append((code(held), width(size)))
+    bits = "".join(f"{c:0{w}b}" for c, w in [*codes, (257, width(size + 1))])
     return int(bits + "0" * (-len(bits) % 8), 2).to_bytes((len(bits) + 7) // 8, "big")
 
 

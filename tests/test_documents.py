@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+import random
 import zipfile
 import zlib
 from datetime import UTC, datetime
@@ -183,6 +184,9 @@ def test_verbs(spark, tmp_path):
     info = {r.path: r for r in verbs.info(data).collect()}
     assert set(info) == {"a.pdf", "b.OFD", "c.pdf", "d.ofd"}
     assert (info["a.pdf"].title, info["a.pdf"].author, info["a.pdf"].page_count) == ("T", "A", 3) and info["b.OFD"].page_count == 4 and info["c.pdf"].error and info["d.ofd"].error
+    lost = writers.pdf({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 0 /Kids [] >>", 9: b"<< >>"}).replace(b"9 0 obj", b"9_0_obj")
+    errors = [r.errors for deep in (False, True) for r in verbs.validate(frame(spark, [("l.pdf", lost)]), deep).collect()]
+    assert errors[1] == [*errors[0], "object 9 not found"]
     valid = {r.path: r for r in verbs.validate(data).collect()}
     assert valid["a.pdf"].valid and valid["b.OFD"].valid and not valid["c.pdf"].valid and not valid["d.ofd"].valid
     whole = {r.path: r for r in verbs.extract(data).collect()}
@@ -281,3 +285,11 @@ def test_files_and_streaming(spark, tmp_path):
 
 def test_string_types():
     assert isinstance(parse(b"(a)"), Text) and not isinstance(parse(b"(a)"), HexText)
+
+
+def test_lzw_of_all_widths():
+    rng = random.Random(1)
+    for n in (0, 1, 2, 253, 254, 255, 600, 5000, 40_000):
+        for alphabet in (b"ab", bytes(range(256))):
+            data = bytes(rng.choice(alphabet) for _ in range(n))
+            assert filters.lzw(writers.encoded(data, "LZWDecode")) == data
