@@ -5,6 +5,8 @@ Tables become PDF and OFD bytes by writers that share no code with the readers;
 
 from __future__ import annotations
 
+import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -480,3 +482,298 @@ def _described(row: dict) -> bytes:
     xmp += "<xmp:CreatorTool>Tool</xmp:CreatorTool></rdf:Description></x:xmpmeta>"
     objects = {1: b"<< /Type /Catalog /Pages 2 0 R /Metadata 3 0 R >>", 2: b"<< /Type /Pages /Count 0 /Kids [] >>", 3: writers.pdf_stream(writers.encoded(xmp.encode(), "FlateDecode"), " /Type /Metadata /Filter /FlateDecode")}
     return writers.pdf(objects)
+
+
+_FRAME = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 1 /Kids [3 0 R] /MediaBox [0 0 9 9] >>"}
+
+
+def _one_page(content: bytes, font: bytes = b"<< /Type /Font /Subtype /Type1 /BaseFont /A >>") -> dict[int, bytes]:
+    """Objects of a file with one page, whose content stream is given as it stands."""
+    return _FRAME | {3: b"<< /Type /Page /Parent 2 0 R /Contents 5 0 R /Resources << /Font << /F 4 0 R >> >> >>", 4: font, 5: content}
+
+
+def _compact(row: dict) -> bytes:
+    body = f"BT /F 9 Tf {writers.pdf_string(row['text'])} Tj ET".encode()
+    return writers.pdf_packed(_one_page(writers.pdf_stream(body)), predictor=row["item_id"] % 2 == 0)
+
+
+@query(f"SELECT item_id, {norm('text')} AS text, '1.4' AS declared, '1.5' AS effective, true AS xref_stream, true AS object_streams, false AS traditional_xref, 4 AS members FROM benchmark")
+def pdf_object_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose objects stand in an object stream, with and without a predictor in the index."""
+    parsed = pdf.parsed(papers(spark, sf_dir, _compact, "benchmark", "item_id"), ("text", "objects"))
+    members = F.size(F.filter("xref", lambda x: x["kind"] == "stream")).alias("members")
+    page = F.get("pages", F.lit(0))
+    flags = (F.col(f"features.{c}").alias(c) for c in ("declared", "effective", "xref_stream", "object_streams", "traditional_xref"))
+    return parsed.select(key().alias("item_id"), plain(page["texts"][0]).alias("text"), *flags, members)
+
+
+def _hybrid(row: dict) -> bytes:
+    i = row["doc_id"]
+    base = writers.pdf({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 0 /Kids [] >>", 3: b"<< /Title (old) >>"}, info=3)
+    if i % 2 == 0:
+        return base
+    start = int(base.rsplit(b"startxref\n", 1)[1].split(b"\n")[0])
+    out, new = bytearray(base), len(base)
+    out += f"3 0 obj\n<< /Title (new {i}) >>\nendobj\n".encode()
+    at = len(out)
+    out += b"9 0 obj\n" + writers.pdf_stream(b"\x01" + new.to_bytes(4, "big"), " /Type /XRef /Size 4 /W [1 4 0] /Index [3 1]") + b"\nendobj\n"
+    table = len(out)
+    return bytes(out + f"xref\n0 0\ntrailer\n<< /Size 10 /Root 1 0 R /Info 3 0 R /Prev {start} /XRefStm {at} >>\nstartxref\n{table}\n%%EOF\n".encode())
+
+
+@query("SELECT doc_id, doc_id % 2 = 1 AS hybrid, CASE WHEN doc_id % 2 = 1 THEN 'new ' || doc_id ELSE 'old' END AS title, CASE WHEN doc_id % 2 = 1 THEN 'table,stream,table' ELSE 'table' END AS kinds FROM labels")
+def pdf_hybrid_xref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section's stream is read after its table and before older sections."""
+    parsed = pdf.parsed(papers(spark, sf_dir, _hybrid, "labels"), ())
+    return parsed.select(key().alias("doc_id"), "features.hybrid", "info.title", F.array_join("sections.kind", ",").alias("kinds"))
+
+
+def _misplaced(row: dict) -> bytes:
+    i = row["doc_id"]
+    out = writers.pdf({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Count {i % 50} /Kids [] >>".encode()})
+    head, _, tail = out.rpartition(b"startxref\n")
+    return (out, head + b"%%EOF\n", head + b"startxref\n3\n%%EOF\n", head + b"startxref\n" + tail)[i % 4]
+
+
+@query("SELECT doc_id, doc_id % 50 AS page_count, CASE doc_id % 4 WHEN 1 THEN 'startxref marker not found or unreadable' WHEN 2 THEN 'no cross-reference section at 3' ELSE '' END AS warning FROM labels")
+def pdf_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file without a usable startxref is read by its last table, with a warning."""
+    parsed = pdf.parsed(papers(spark, sf_dir, _misplaced, "labels"), ())
+    return parsed.select(key().alias("doc_id"), "info.page_count", F.regexp_extract(F.array_join("warnings", "|"), "^[^;:]*", 0).alias("warning"))
+
+
+def _identified(row: dict) -> bytes:
+    i = row["doc_id"]
+    ids = f"[<{i * 7919:08x}> <{i + 1:08X}>]" if i % 3 else f"[(first {i}) (second)]"
+    return writers.pdf({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 0 /Kids [] >>"}, trailer=f" /ID {ids}" if i % 5 else "")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 3 <> 0 THEN format('{:08X}', doc_id * 7919) ELSE 'first ' || doc_id END END AS created_as,
+    CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 3 <> 0 THEN format('{:08X}', doc_id + 1) ELSE 'second' END END AS saved_as FROM labels"""
+)
+def pdf_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.col("file_identifiers")
+    rows = pdf_plans.info(pdf.parsed(papers(spark, sf_dir, _identified, "labels"), ()))
+    return rows.select(key().alias("doc_id"), F.get(ids, F.lit(0)).alias("created_as"), F.get(ids, F.lit(1)).alias("saved_as"))
+
+
+def _moved(row: dict) -> bytes:
+    """Lines by each operator that starts one, words apart by gaps in an array."""
+    shown = []
+    for n, line in enumerate((row["text"] or "").split("\n")):
+        if n % 3 == 0:
+            shown.append("0 -12 Td [" + " -300 ".join(writers.pdf_literal(w) for w in line.split(" ")) + "] TJ")
+        elif n % 3 == 1:
+            shown.append(f"{writers.pdf_literal(line)} '")
+        else:
+            shown.append(f'1 2 {writers.pdf_literal(line)} "')
+    return writers.pdf(_one_page(writers.pdf_stream(("BT /F 9 Tf " + " ".join(shown) + " ET").encode())))
+
+
+@query(f"SELECT doc_id, {norm('text')} AS text FROM documents WHERE {norm('text')} <> ''")
+def pdf_text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal strings with escapes; gaps are spaces, steps down and quotes are lines."""
+    found = pdf_plans.text(pdf.parsed(papers(spark, sf_dir, _moved), ("text",)))
+    return found.where("error is null").select(key().alias("doc_id"), plain("text").alias("text"))
+
+
+_MARKS = {"́": "acute", "̀": "grave", "̂": "circumflex", "̈": "dieresis", "̃": "tilde", "̊": "ring", "̧": "cedilla"}
+
+
+def _renamed(row: dict) -> bytes:
+    """Codes from 128 on for the letters beyond ASCII, by names where a letter has an accent, else by code points."""
+    text = row["latin"]
+    letters = sorted({c for c in text if ord(c) > 127})
+    code = {c: 128 + i for i, c in enumerate(letters)}
+    parts = {c: unicodedata.normalize("NFD", c) for c in letters}
+    names = [f"/{p[0]}{_MARKS[p[1]]}" if len(p) == 2 and p[1] in _MARKS else f"/uni{ord(c):04X}" for c, p in parts.items()]
+    font = f"<< /Type /Font /Subtype /Type1 /BaseFont /A /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [128 {' '.join(names)}] >> >>".encode()
+    data = bytes(code.get(c, ord(c)) for c in text).hex().encode()
+    return writers.pdf(_one_page(writers.pdf_stream(b"BT /F 9 Tf <" + data + b"> Tj ET"), font))
+
+
+def latin(spark: SparkSession, sf_dir: str, pattern: str, make: Callable[[dict], bytes]) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id"), F.lit(".pdf")).alias("path"), F.regexp_replace("text", pattern, "").alias("latin"))
+    return files(rows, make)
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(text, '{_LATIN}', '', 'g')) AS text FROM documents WHERE trim(regexp_replace(text, '{_LATIN}', '', 'g')) <> ''")
+def pdf_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pdf_plans.text(pdf.parsed(latin(spark, sf_dir, _LATIN, _renamed), ("text",)))
+    return found.where("error is null").select(key().alias("doc_id"), "text")
+
+
+_MAC = "[^ -~ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜßàáâãäåæçèéêëìíîïñòóôõöøùúûüÿ]"
+
+
+def _mac(row: dict) -> bytes:
+    font = b"<< /Type /Font /Subtype /TrueType /BaseFont /A /Encoding /MacRomanEncoding >>"
+    return writers.pdf(_one_page(writers.pdf_stream(b"BT /F 9 Tf <" + row["latin"].encode("mac_roman").hex().encode() + b"> Tj ET"), font))
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(text, '{_MAC}', '', 'g')) AS text FROM documents WHERE trim(regexp_replace(text, '{_MAC}', '', 'g')) <> ''")
+def pdf_mac_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pdf_plans.text(pdf.parsed(latin(spark, sf_dir, _MAC, _mac), ("text",)))
+    return found.where("error is null").select(key().alias("doc_id"), "text")
+
+
+def _odd_streams(row: dict) -> bytes:
+    """Streams whose filter leaves bytes as they are, whose length is too long, and whose length stands elsewhere."""
+    i = row["item_id"]
+    body = f"BT /F 9 Tf {writers.pdf_string(row['text'])} Tj ET".encode()
+    names = ("", " /Filter /DCTDecode", " /Filter [/JPXDecode]", " /Filter /CCITTFaxDecode", " /Filter /JBIG2Decode")[i % 5]
+    length = (str(len(body)), str(len(body) + 7), "9 0 R")[i % 3]
+    content = f"<< /Length {length}{names} >>\nstream\n".encode() + body + b"\nendstream"
+    return writers.pdf(_one_page(content) | {9: str(len(body)).encode()})
+
+
+@query(f"SELECT item_id, {norm('text')} AS text FROM benchmark")
+def pdf_stream_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf_plans.text(pdf.parsed(papers(spark, sf_dir, _odd_streams, "benchmark", "item_id"), ("text",))).select(key().alias("item_id"), plain("text").alias("text"))
+
+
+def _numbered(row: dict) -> bytes:
+    """Pages that say where they stand; each third one has no contents."""
+    i = row["doc_id"]
+    leaves = range(1, 2 + i % 5)
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Count {len(leaves)} /MediaBox [0 0 {100 + i % 90} 50] /Kids [{' '.join(f'{10 * n} 0 R' for n in leaves)}] >>".encode()}
+    for n in leaves:
+        objects[10 * n] = b"<< /Type /Page /Parent 2 0 R" + (f" /Contents {10 * n + 1} 0 R" if n % 3 else "").encode() + b" >>"
+        if n % 3:
+            objects[10 * n + 1] = writers.pdf_stream(f"BT (leaf {n} of {i}) Tj ET".encode())
+    return writers.pdf(objects)
+
+
+_LEAVES = "(SELECT doc_id, unnest(range(1, 2 + doc_id % 5)) AS n FROM labels)"
+_CONTENT = "'BT (leaf ' || n || ' of ' || doc_id || ') Tj ET'"
+
+
+@query(f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS page_no, {_CONTENT} AS content, length({_CONTENT}) AS content_size, (100 + doc_id % 90)::DOUBLE AS width FROM {_LEAVES} WHERE n % 3 <> 0")
+def documents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verb that goes through pages; those without contents have no number."""
+    rows = verbs.pages(papers(spark, sf_dir, _numbered, "labels"))
+    return rows.select(key().alias("doc_id"), F.col("page_no").cast("bigint").alias("page_no"), F.col("content").cast("string").alias("content"), F.col("content_size").cast("bigint").alias("content_size"), F.col("media_box")[2].alias("width"))
+
+
+@query(f"SELECT doc_id, {_CONTENT} AS content FROM {_LEAVES} WHERE n = 4")
+def documents_read_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page with contents is the fourth leaf."""
+    return verbs.read_page(papers(spark, sf_dir, _numbered, "labels"), 3).select(key().alias("doc_id"), F.col("content").cast("string").alias("content"))
+
+
+@query(f"SELECT doc_id, n AS leaf_no, n - 1 AS page_no, {_CONTENT} AS content FROM {_LEAVES} WHERE n = 4")
+def pdf_go_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pdf_plans.go_to(pdf.parsed(papers(spark, sf_dir, _numbered, "labels"), ("content",)), "40 0 R")
+    return rows.select(key().alias("doc_id"), F.col("leaf_no").cast("bigint").alias("leaf_no"), F.col("page_no").cast("bigint").alias("page_no"), F.col("content").cast("string").alias("content"))
+
+
+@query("SELECT 'd' || doc_id || '.pdf' AS path, '10 0 R' AS page_ref, '2 0 R' AS parent, (100 + doc_id % 90)::DOUBLE AS width, '11 0 R' AS contents FROM labels UNION ALL SELECT DISTINCT 'c' || conv_id || '.ofd', NULL, NULL, 210, NULL FROM conversations")
+def documents_first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First pages of files of both kinds."""
+    both = papers(spark, sf_dir, _numbered, "labels").unionByName(talks(spark, sf_dir, _talk))
+    return verbs.first_page(both).select("path", "page_ref", "parent", F.col("media_box")[2].alias("width"), F.array_join("contents", ",").alias("contents"))
+
+
+@query(
+    """SELECT conv_id, 2 AS page_no, 'Doc_0/Pages/Page_1/Content.xml' AS entry FROM conversations GROUP BY conv_id HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT conv_id, 0, 'OFD.xml' FROM conversations"""
+)
+def ofd_go_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of packages: a page's has its number, any other has 0."""
+    parsed = ofd.parsed(talks(spark, sf_dir, _talk), ())
+    found = ofd_plans.go_to(parsed, "Doc_0/Pages/Page_1/Content.xml").unionByName(ofd_plans.go_to(parsed, "OFD.xml"))
+    return found.select(key().alias("conv_id"), F.col("page_no").cast("int").alias("page_no"), "entry")
+
+
+def _placed(row: dict) -> bytes:
+    return writers.ofd_document([[w for w in (t["text"] or "").split(" ")[:3] if w.strip()] + [f"end {t['turn']}"] for t in row["turns"]])
+
+
+@query(
+    """SELECT conv_id, turn + 1 AS page, 'end ' || turn AS text, true AS sized, 0.0::DOUBLE AS left_, 100.0::DOUBLE AS width FROM conversations"""
+)
+def ofd_text_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last text object of each page, with its box and the size of its font."""
+    codes = ofd_plans.text_codes(ofd.parsed(talks(spark, sf_dir, _placed), ("codes",)))
+    last = codes.where("text like 'end %' and boundary[1] = y and object_id = y + 1 and ord = 1 and font = 1")
+    return last.select(key().alias("conv_id"), "page", "text", (F.col("font_size") == 3.5).alias("sized"), F.col("boundary")[0].alias("left_"), F.col("boundary")[2].alias("width"))
+
+
+def _noted(row: dict) -> bytes:
+    i = row["item_id"]
+    notes = f'<Annot ID="{i + 1}" Type="Stamp" Subtype="S{i % 3}" Creator="Tool" LastModDate="2024-01-{1 + i % 28:02d}"><Appearance Boundary="1 2 {i} 4.5"/><Parameters><Parameter Name="kind"> k{i % 7} </Parameter><Parameter Name="empty"/></Parameters></Annot>'
+    more = {"Doc_0/Annots/Annotations.xml": '<Annotations><Page PageID="1"><FileLoc>/Doc_0/Annots/P.xml</FileLoc></Page></Annotations>', "Doc_0/Annots/P.xml": f"<PageAnnot>{notes}</PageAnnot>"}
+    return writers.ofd_document([[""]], more=more)
+
+
+@query(
+    """SELECT item_id, item_id + 1 AS id, 'Stamp' AS type, 'S' || (item_id % 3) AS subtype, 'Tool' AS creator, format('2024-01-{:02d}', 1 + item_id % 28) AS modified, item_id::DOUBLE AS width, 'k' || (item_id % 7) AS kind, 2 AS n_parameters FROM benchmark"""
+)
+def ofd_annotation_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ofd.parsed(items(spark, sf_dir, _noted), ("annotations",)).select("path", F.explode("annotations").alias("a")).select("path", "a.*")
+    return rows.select(key().alias("item_id"), "id", "type", "subtype", "creator", "modified", native.float_list(F.col("boundary"))[2].alias("width"), F.col("parameters")["kind"].alias("kind"), F.size("parameters").alias("n_parameters"))
+
+
+def _pictured(row: dict) -> bytes:
+    i = row["item_id"]
+    file = f"<MediaFile> Res/m{i}.png </MediaFile>" if i % 2 else ""
+    media = f'<Res><MultiMedias><MultiMedia ID="{i + 1}" Type="Image" Format="PNG"{"" if i % 2 else f" MediaFile={chr(34)}Res/a{i}.png{chr(34)}"}>{file}</MultiMedia><MultiMedia Type="Image"/></MultiMedias></Res>'
+    return writers.ofd_document([[""]], more={"Doc_0/DocumentRes.xml": media})
+
+
+@query("SELECT item_id, item_id + 1 AS id, 'Image' AS type, 'PNG' AS format, CASE WHEN item_id % 2 = 1 THEN 'Res/m' || item_id ELSE 'Res/a' || item_id END || '.png' AS file FROM benchmark")
+def ofd_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media by nested elements and by attributes; those without a number are left out."""
+    return ofd.parsed(items(spark, sf_dir, _pictured), ("resources",)).select(key().alias("item_id"), F.inline("media"))
+
+
+def _oversized(row: dict) -> bytes:
+    i = row["item_id"]
+    if i % 50 == 0:
+        return writers.ofd({f"f{n}": b"" for n in range(ofd.ENTRIES + 1)})
+    if i % 50 == 1:
+        return writers.ofd({"OFD.xml": "<OFD><DocBody><DocRoot>Doc_0/Document.xml</DocRoot></DocBody></OFD>", "Doc_0/Document.xml": b"<Document>" + b" " * ofd.XML_BYTES + b"</Document>"})
+    return writers.ofd_document([[""]])
+
+
+@query("SELECT item_id, item_id % 50 > 1 AS whole FROM benchmark")
+def ofd_package_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of too many entries, and those with too long an entry, are refused."""
+    return ofd.parsed(items(spark, sf_dir, _oversized), ()).select(key().alias("item_id"), (F.col("error").isNull() & (F.size("pages") == 1)).alias("whole"))
+
+
+@query("SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS length, sha256(coalesce(text, '')) AS digest FROM documents")
+def documents_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies, read again from where they stand."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quire"
+    target = f"{shared.rstrip('/')}/quire-copies-{uuid.uuid4().hex}"
+    verbs.copy(papers(spark, sf_dir, _as_it_is), target.removeprefix("file:")).write.format("noop").mode("overwrite").save()
+    copies = spark.read.format("binaryFile").load(target)
+    return copies.select(key(F.substring_index("path", "/", -1)).alias("doc_id"), "length", F.sha2("content", 256).alias("digest"))
+
+
+def _as_it_is(row: dict) -> bytes:
+    return (row["text"] or "").encode()
+
+
+@query("SELECT doc_id, 'draft' || doc_id AS title, true AS indented, true AS without_nulls FROM labels")
+def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata as indented JSON, without what is null."""
+    shown = verbs.as_json(verbs.info(papers(spark, sf_dir, _titled, "labels")))
+    json = F.col("json")
+    return shown.select(key().alias("doc_id"), F.get_json_object(json, "$.title").alias("title"), json.contains('\n  "title" : ').alias("indented"), (~json.contains("producer")).alias("without_nulls"))
+
+
+def _titled(row: dict) -> bytes:
+    return writers.pdf({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 0 /Kids [] >>", 3: f"<< /Title (draft{row['doc_id']}) >>".encode()}, info=3)
+
+
+@query("SELECT 'd' || doc_id || '.pdf' AS path, 1 + doc_id % 5 AS page_count, true AS valid, 'leaf 1 of ' || doc_id AS head FROM labels")
+def documents_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verbs' results as views, joined in SQL."""
+    verbs.register(spark, papers(spark, sf_dir, _numbered, "labels"))
+    return spark.sql(
+        """SELECT i.path, i.page_count, r.valid, regexp_extract(t.text, '^leaf 1 of [0-9]+', 0) AS head
+        FROM document_info i JOIN document_report r ON i.path = r.path JOIN document_text t ON i.path = t.path"""
+    )

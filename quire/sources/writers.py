@@ -85,6 +85,40 @@ def pdf_stream(data: bytes, keys: str = "") -> bytes:
     return f"<< /Length {len(data)}{keys} >>\nstream\n".encode() + data + b"\nendstream"
 
 
+def pdf_packed(objects: dict[int, bytes], predictor: bool = False, keys: str = "") -> bytes:
+    """A file of PDF 1.5's kind: what is no stream stands in an object stream, and the index is a cross-reference stream."""
+    packed = {n: b for n, b in objects.items() if not b.endswith(b"endstream")}
+    holder = max(objects) + 1
+    heads, body = [], b""
+    for num, value in packed.items():
+        heads.append(f"{num} {len(body)}")
+        body += value + b" "
+    head = (" ".join(heads) + " ").encode()
+    out, places = bytearray(b"%PDF-1.4\n"), {}
+    alone = {n: b for n, b in objects.items() if n not in packed}
+    alone[holder] = pdf_stream(zlib.compress(head + body), f" /Type /ObjStm /N {len(packed)} /First {len(head)} /Filter /FlateDecode")
+    for num, value in alone.items():
+        places[num] = len(out)
+        out += f"{num} 0 obj\n".encode() + value + b"\nendobj\n"
+    start = places[holder + 1] = len(out)
+    member = {num: i for i, num in enumerate(packed)}
+    rows = [bytes(7)]
+    for num in range(1, holder + 2):
+        kind, a, b = (2, holder, member[num]) if num in member else (1, places[num], 0) if num in places else (0, 0, 0)
+        rows.append(bytes([kind]) + a.to_bytes(4, "big") + b.to_bytes(2, "big"))
+    if predictor:
+        rows = [b"\x02" + bytes((x - y) & 255 for x, y in zip(row, above, strict=True)) for row, above in zip(rows, [bytes(7), *rows], strict=False)]
+    parms = " /DecodeParms << /Predictor 12 /Columns 7 >>" if predictor else ""
+    index = pdf_stream(zlib.compress(b"".join(rows)), f" /Type /XRef /Size {holder + 2} /W [1 4 2] /Root 1 0 R /Filter /FlateDecode{parms}{keys}")
+    return bytes(out + f"{holder + 1} 0 obj\n".encode() + index + f"\nendobj\nstartxref\n{start}\n%%EOF\n".encode())
+
+
+def pdf_literal(text: str) -> str:
+    """UTF-16 with a mark as a literal string, with escapes of all kinds."""
+    short = {0x0A: "\\n", 0x0D: "\\r", 0x09: "\\t", 0x08: "\\b", 0x0C: "\\f", 0x28: "\\(", 0x29: "\\)", 0x5C: "\\\\"}
+    return "(" + "".join(short.get(b) or (chr(b) if 0x20 <= b < 0x7F else f"\\{b:03o}") for b in b"\xfe\xff" + text.encode("utf-16-be")) + ")"
+
+
 FILTERS = ("FlateDecode", "ASCIIHexDecode", "ASCII85Decode", "RunLengthDecode", "LZWDecode")
 
 
