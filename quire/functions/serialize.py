@@ -34,7 +34,7 @@ def value_bytes(value) -> bytes:
 
 
 def rewritten(data: bytes) -> bytes:
-    """The newest revision alone: header, live objects in ascending order, one table, one trailer. Members of object streams become objects of their own;
+    """The newest revision alone: header, live objects in ascending order, their values as they are written, one table, one trailer. Members of object streams become objects of their own;
     /ID and /Encrypt stay in the trailer, with generations as they are. Raises ValueError without a root."""
     from quire.sources.pdf import PdfFile
 
@@ -52,7 +52,7 @@ def rewritten(data: bytes) -> bytes:
             continue
         gen = (pdf.index.get(num) or {}).get("gen_num") or 0
         places.append((num, gen, len(out)))
-        out += b"%d %d obj\n" % (num, gen) + value_bytes(value) + b"\nendobj\n"
+        out += b"%d %d obj\n" % (num, gen) + (value_bytes(value) if (raw := pdf.raw(num)) is None else raw) + b"\nendobj\n"
     start = len(out)
     out += b"xref\n0 1\n0000000000 65535 f \n"
     for num, gen, at in places:

@@ -35,7 +35,8 @@ def validate(files: DataFrame, deep: bool = False) -> DataFrame:
 def extract(files: DataFrame, page: int | None = None) -> DataFrame:
     """(path, page_no, text, error): of whole documents, or of one page."""
     p, o = _by_format(files)
-    return pdf_plans.text(pdf.parsed(p, ("text",)), page).unionByName(ofd_plans.text(ofd.parsed(o, ("text",)), page))
+    page = page if page is not None and page > 0 else None
+    return pdf_plans.text(pdf.parsed(p, ("text",), page), page).unionByName(ofd_plans.text(ofd.parsed(o, ("text",), page), page))
 
 
 def first_page(files: DataFrame) -> DataFrame:
@@ -43,16 +44,16 @@ def first_page(files: DataFrame) -> DataFrame:
     return pdf_plans.first_page(pdf.parsed(p, ("pages",))).unionByName(ofd_plans.first_page(ofd.parsed(o, ())), allowMissingColumns=True)
 
 
-def pages(files: DataFrame) -> DataFrame:
-    """(path, page_no, media_box, content_size, content) of every page with contents, in any order."""
+def pages(files: DataFrame, page: int | None = None) -> DataFrame:
+    """(path, page_no, media_box, content_size, content) of every page with contents, in any order; with page, of that page alone: no other is decoded."""
     p, o = _by_format(files)
     columns = ("path", "page_no", "media_box", F.length("content").alias("content_size"), "content")
-    return pdf_plans.pages(pdf.parsed(p, ("content",))).where("page_no is not null").select(*columns).unionByName(ofd_plans.pages(ofd.parsed(o, ("content",))).select(*columns))
+    return pdf_plans.pages(pdf.parsed(p, ("content",), page)).where("page_no is not null").select(*columns).unionByName(ofd_plans.pages(ofd.parsed(o, ("content",), page)).select(*columns))
 
 
 def read_page(files: DataFrame, page: int) -> DataFrame:
     """The page of each document; documents that have no such page have no row."""
-    return pages(files).where(F.col("page_no") == page)
+    return pages(files, page).where(F.col("page_no") == page)
 
 
 def rewrite(files: DataFrame) -> DataFrame:

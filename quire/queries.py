@@ -697,7 +697,7 @@ def ofd_text_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last text object of each page, with its box and the size of its font."""
     codes = ofd_plans.text_codes(ofd.parsed(talks(spark, sf_dir, _placed), ("codes",)))
     last = codes.where("text like 'end %' and boundary[1] = y and object_id = y + 1 and ord = 1 and font = 1")
-    return last.select(key().alias("conv_id"), "page", "text", (F.col("font_size") == 3.5).alias("sized"), F.col("boundary")[0].alias("left_"), F.col("boundary")[2].alias("width"))
+    return last.select(key().alias("conv_id"), F.col("page").cast("bigint").alias("page"), "text", (F.col("font_size") == 3.5).alias("sized"), F.col("boundary")[0].alias("left_"), F.col("boundary")[2].alias("width"))
 
 
 def _noted(row: dict) -> bytes:
@@ -777,3 +777,18 @@ def documents_views(spark: SparkSession, sf_dir: str) -> DataFrame:
         """SELECT i.path, i.page_count, r.valid, regexp_extract(t.text, '^leaf 1 of [0-9]+', 0) AS head
         FROM document_info i JOIN document_report r ON i.path = r.path JOIN document_text t ON i.path = t.path"""
     )
+
+
+def _peculiar(row: dict) -> bytes:
+    i = row["doc_id"]
+    odd = f"<< /N +{i}.500 /S (a\\050{i}) /H <0a 0B> /Of 9 0 R >>".encode()
+    return writers.pdf({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 0 /Kids [] >>", 3: odd, 8: writers.pdf_stream(b"x" * (i % 9), " /Odd 1.50"), 9: b"007"})
+
+
+@query("SELECT doc_id, '<< /N +' || doc_id || '.500 /S (a' || chr(92) || '050' || doc_id || ') /H <0a 0B> /Of 9 0 R >>' AS odd, '<< /Length ' || (doc_id % 9) || ' /Odd 1.50 >>' AS stream, '007' AS number FROM labels")
+def pdf_raw_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rewritten file keeps its values as they were written."""
+    text = F.col("content").cast("string")
+    rows = verbs.rewrite(papers(spark, sf_dir, _peculiar, "labels")).withColumn("content", F.decode("content", "ISO-8859-1"))
+    value = lambda num: F.regexp_extract(text, rf"(?s)\n{num} 0 obj\n(.*?)\n(stream|endobj)", 1)
+    return rows.select(key().alias("doc_id"), value(3).alias("odd"), value(8).alias("stream"), value(9).alias("number"))

@@ -14,8 +14,3 @@ def documents(spark: SparkSession, path: str | list[str], largest: int | None =
     if largest is not None:
         files = files.where(F.col("length") <= largest)
     return files.withColumn("format", route_format(F.col("path"))).where("format is not null").select("path", "format", "length", "content")
-
-
-def small_batches(spark: SparkSession, rows: int = 64) -> None:
-    """Arrow batches of few rows, for rows that carry files."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -154,8 +154,8 @@ def picture(data: bytes) -> bytes | None:
     return None
 
 
-def read(path: str, data: bytes, parts: tuple[str, ...] = PARTS) -> dict:
-    """One package as a row of SCHEMA; parts not asked for are null."""
+def read(path: str, data: bytes, parts: tuple[str, ...] = PARTS, only: int | None = None) -> dict:
+    """One package as a row of SCHEMA; parts not asked for are null. only: the number of the single page whose entry is read."""
     row: dict = {"path": path, "size_bytes": len(data), "error": None}
     try:
         package = Package(data)
@@ -184,6 +184,8 @@ def read(path: str, data: bytes, parts: tuple[str, ...] = PARTS) -> dict:
     codes: list[dict] = []
     pages = []
     for ord_, page in enumerate(named(document, "Page"), 1):
+        if only is not None and ord_ != only:
+            continue
         own = attributes(page)
         if "BaseLoc" not in own:
             pages.append({"ord": ord_, "page_id": integer(own.get("ID")), "found": False})
@@ -244,8 +246,8 @@ def text_codes(root: ElementTree.Element, page: int) -> list[dict]:
     return out
 
 
-def parsed(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
-    """SCHEMA's columns of each row (path, content) of files."""
+def parsed(files: DataFrame, parts: tuple[str, ...] = PARTS, page: int | None = None) -> DataFrame:
+    """SCHEMA's columns of each row (path, content) of files, with page of that page alone."""
     schema = T.StructType.fromDDL(SCHEMA)
     arrow = to_arrow_schema(schema)
 
@@ -253,6 +255,6 @@ def parsed(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                yield pa.RecordBatch.from_pylist([read(p.as_py(), c.as_py() or b"", parts) for p, c in zip(part.column("path"), part.column("content"), strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_pylist([read(p.as_py(), c.as_py() or b"", parts, page) for p, c in zip(part.column("path"), part.column("content"), strict=True)], schema=arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)

@@ -161,6 +161,23 @@ class PdfFile:
             value = Stream(value, start, self._body(value, start))
         return Ref(int(m[1]), int(m[2])), value
 
+    def raw(self, num: int) -> bytes | None:
+        """The value of an object as it is written; None if it stands in an object stream or can't be read, or is a stream whose own length isn't that of its body."""
+        entry, at = self.index.get(num), self.located(num)[0]
+        if at is None or entry and entry["kind"] != "direct":
+            return None
+        start = _OBJECT.match(self.data, at).end()
+        reader, value = Reader(self.data, start), self.object(num)
+        try:
+            written = reader.value()
+        except SyntaxFault:
+            return None
+        text = self.data[start : reader.at].strip(b"\0\t\n\x0c\r ")
+        if not isinstance(value, Stream):
+            return text
+        own = isinstance(written, dict) and written.get("Length") == len(value.data) and not isinstance(written["Length"], bool)
+        return text + b"\nstream\n" + value.data + b"\nendstream" if own else None
+
     def _body(self, d: dict, start: int) -> bytes:
         length = d.get("Length")
         if isinstance(length, Ref):
@@ -393,12 +410,15 @@ class PdfFile:
                 error = str(e)
         return out, b"\n".join(body), error
 
-    def pages(self, text: bool = True, content: bool = False) -> list[dict]:
+    def pages(self, text: bool = True, content: bool = False, page: int | None = None) -> list[dict]:
+        """All leaves, or with page the one of that number alone: the tree is walked as far as that, and no other page is laid out."""
         out, number = [], 0
         for leaf_no, leaf in enumerate(self.leaves(), 1):
             d = leaf["dict"]
             refs = self.contents(d)
             number += bool(refs)
+            if page is not None and (number < page or not refs):
+                continue
             shown_, body, error = self.text(leaf) if text or content else ([], b"", None)
             rotate = leaf.get("Rotate")
             rotate = self.object(rotate) if isinstance(rotate, Ref) else rotate
@@ -408,6 +428,8 @@ class PdfFile:
                 "fonts": [{"name": k, **{c: v[c] for c in ("subtype", "base_font", "encoding")}} for k, v in sorted(self.fonts(leaf.get("Resources")).items())],
                 "texts": shown_ if text else None, "content": body if content else None, "error": error,
             })
+            if page is not None:
+                break
         return out
 
     def findings(self) -> list[dict]:
@@ -522,8 +544,8 @@ def _json(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
-def read(path: str, data: bytes, parts: tuple[str, ...] = PARTS) -> dict:
-    """One file as a row of SCHEMA; parts not asked for are null."""
+def read(path: str, data: bytes, parts: tuple[str, ...] = PARTS, page: int | None = None) -> dict:
+    """One file as a row of SCHEMA; parts not asked for are null. page: of the pages with contents only this one, counted from 1."""
     row: dict = {"path": path, "size_bytes": len(data), "error": None}
     try:
         pdf = PdfFile(data)
@@ -532,7 +554,7 @@ def read(path: str, data: bytes, parts: tuple[str, ...] = PARTS) -> dict:
         if "objects" in parts:
             row |= {"xref": pdf.entries, "objects": pdf.objects(), "nodes": pdf.nodes()}
         if {"pages", "text", "content"} & set(parts):
-            row["pages"] = pdf.pages("text" in parts and not row["features"]["encrypted"], "content" in parts)
+            row["pages"] = pdf.pages("text" in parts and not row["features"]["encrypted"], "content" in parts, page)
         if "findings" in parts:
             row["findings"] = pdf.findings()
         row["warnings"] = pdf.warnings
@@ -543,8 +565,8 @@ def read(path: str, data: bytes, parts: tuple[str, ...] = PARTS) -> dict:
     return row
 
 
-def parsed(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
-    """SCHEMA's columns of each row (path, content) of files. One file is in memory at a time, besides its row."""
+def parsed(files: DataFrame, parts: tuple[str, ...] = PARTS, page: int | None = None) -> DataFrame:
+    """SCHEMA's columns of each row (path, content) of files, with page of that page alone. One file is in memory at a time, besides its row."""
     schema = T.StructType.fromDDL(SCHEMA)
     arrow = to_arrow_schema(schema)
 
@@ -552,6 +574,6 @@ def parsed(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                yield pa.RecordBatch.from_pylist([read(p.as_py(), c.as_py() or b"", parts) for p, c in zip(part.column("path"), part.column("content"), strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_pylist([read(p.as_py(), c.as_py() or b"", parts, page) for p, c in zip(part.column("path"), part.column("content"), strict=True)], schema=arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)

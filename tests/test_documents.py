@@ -293,3 +293,23 @@ def test_lzw_of_all_widths():
         for alphabet in (b"ab", bytes(range(256))):
             data = bytes(rng.choice(alphabet) for _ in range(n))
             assert filters.lzw(writers.encoded(data, "LZWDecode")) == data
+
+
+def test_one_page_alone_is_laid_out(monkeypatch):
+    laid = []
+    whole = pdf.PdfFile.text
+    monkeypatch.setattr(pdf.PdfFile, "text", lambda self, leaf: laid.append(str(leaf["ref"])) or whole(self, leaf))
+    data = writers.pdf_document([[f"page {i}"] for i in range(1, 30)])
+    row = pdf.read("a", data, ("text",), 20)
+    assert len(laid) == 1 and [(p["page_no"], p["texts"]) for p in row["pages"]] == [(20, ["page 20"])]
+    assert pdf.read("a", data, ("text",), 30)["pages"] == []
+    package = writers.ofd_document([[f"page {i}"] for i in range(1, 30)])
+    assert [(p["ord"], p["texts"]) for p in ofd.read("a", package, ("text",), 20)["pages"]] == [(20, ["page 20"])]
+
+
+def test_values_are_copied_as_written():
+    odd = b"<< /A +1.500 /B (x\\050) /C [ 1  2 ] >>"
+    data = writers.pdf({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 0 /Kids [] >>", 3: odd, 4: b"<< /Length 99 >>\nstream\nab\nendstream", 5: writers.pdf_stream(b"a\r\n", " /K 1.0")})
+    again = rewritten(data)
+    assert b"3 0 obj\n" + odd + b"\nendobj" in again and b"5 0 obj\n" + writers.pdf_stream(b"a\r\n", " /K 1.0") + b"\nendobj" in again
+    assert pdf.PdfFile(again).object(4).data == b"ab" and b"/Length 2" in again
