@@ -1,22 +1,29 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-Words are runs of a-z and 0-9 of the lower-cased text, shingles are five words. A template of n words is looked for in windows of n words, each STEP-th
-of n apart. Only windows that hold a shingle of some template can pass, so only those are hashed. Two windows at a similarity of 0.6, what a
-template with a fifth of its shingles changed and the worst offset keeps, share one of BANDS bands of ROWS minima with probability above 0.999.
-The verified share is of the template's shingles that stand in the window, widened by one step to both sides.
-
-All on DataFrame functions. Null and empty texts, and those of fewer than five words, match nothing. Repeated rows of an id count as one document.
+Words are runs of a-z and 0-9 of the lower-cased text, shingles are five words. A template of n words is looked for in windows of its class, the least of
+the lengths 5, 6, 7, ... that grow by a tenth that is not below n, each STEP-th of that length apart. A window is hashed if it holds, widened by one step to
+both sides, as many shingles of the class's templates as the shortest of them needs: no other can pass. Which shingles are a class's is told by a table,
+three places a shingle, a literal of the plan; a place met by chance costs a hashed window and no more. Two windows at a similarity of 0.6, what a template with a fifth
+of its shingles changed and the worst offset keeps, share one of BANDS bands of ROWS minima with probability above 0.999. Bands join the index of
+templates, and the verified share is of the template's shingles that stand in the widened window.
+
+All on DataFrame functions. Texts are cut into pieces that overlap by the longest window, so windows never carry a whole text, and a text costs in
+proportion to its length. Null and empty texts, and those of fewer than five words, match nothing. Repeated rows of an id count as one document.
 Ties in containment go to the earliest window.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS, BANDS, ROWS, STEP, CONTAINED = 5, 16, 2, 8, 0.8
+#: Least words of a piece of a text, and what bounds the index that is broadcast: templates, and their shingles altogether.
+PIECE, MOST, MOST_SHINGLES = 2048, 10_000, 200_000
 
 #: Notices and the opening terms of public licences.
 TEMPLATES = {
@@ -58,41 +65,96 @@ def bands(window: Column) -> Column:
     return F.array(*(F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
 
 
+def length_class(n: int) -> int:
+    """The length of the windows for templates of n words: at most a tenth more."""
+    length = WORDS
+    while length < n:
+        length = max(length + 1, length * 11 // 10)
+    return length
+
+
+def membership(values: set[int]) -> Callable[[Column], Column]:
+    """A test on 64-bit hashes that all values pass, and others with a probability of 1e-4 at most."""
+    size = 1 << max(10, (64 * len(values) - 1).bit_length())
+    cells = bytearray(size)
+    for value in values:
+        for shift in (0, 21, 42):
+            cells[((value & 0xFFFFFFFFFFFFFFFF) >> shift) & (size - 1)] = 1
+    table = F.lit(bytes(cells))
+
+    def test(h: Column) -> Column:
+        places = [(F.shiftrightunsigned(h, shift) if shift else h).bitwiseAND(size - 1).cast("int") for shift in (0, 21, 42)]
+        a, b, c = (F.substring(table, at + 1, 1) == F.lit(b"\x01") for at in places)
+        return a & b & c
+
+    return test
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, license, containment double, first_word int, n_windows long): each document and template of which CONTAINED of the shingles or more stand in one window;
-    first_word: of the best window. templates: name to text, of WORDS words at least (a shorter one is an error), at most 10,000 (they are literals of the plan)."""
+    first_word: of the best window. templates: name to text, notices or whole licences, of WORDS words at least, at most MOST of MOST_SHINGLES shingles altogether; else an error."""
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
-    if short := [k for k, v in templates.items() if len(re.findall("[a-z0-9]+", v.lower())) < WORDS]:
-        raise ValueError(f"templates of fewer than {WORDS} words: {', '.join(short)}")
-    known = spark.createDataFrame([(k, v) for k, v in templates.items()], "license string, body string")
-    known = known.withColumn("w", words(F.col("body"))).select("license", F.size("w").alias("n"), F.array_distinct(shingles(F.col("w"))).alias("own"), bands(shingles(F.col("w"))).alias("bands"))
-    rows = known.select("license", "n", "own").collect()  # as many as templates
-    if not rows or len(rows) > 10_000:
-        if rows:
-            raise ValueError("too many templates")
+    if not templates:
         return spark.createDataFrame([], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, license string, containment double, first_word int, n_windows bigint")
-    wanted = sorted({h for r in rows for h in r["own"]})
-    lengths = sorted({r["n"] for r in rows})
-    # No filter on what comes from an array of words: Spark would push it below and repeat the splitting for each shingle.
-    hit = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).select("id", F.when(F.size("w") >= WORDS, shingles(F.col("w"))).otherwise(F.array().cast("array<bigint>")).alias("hs"))
-    hit = hit.select("id", "hs", F.filter(F.transform("hs", lambda h, i: F.when(h.isin(wanted), i)), lambda i: i.isNotNull()).alias("hits"))
-
-    def starts(n: int) -> Column:
-        step = max(1, n // STEP)
-        span = n - WORDS
-        first = F.transform(F.col("hits"), lambda p: F.sequence(F.floor(F.greatest(p - span, F.lit(0)) / step).cast("int") * step, F.floor(p / step).cast("int") * step, F.lit(step)))
-        return F.transform(F.array_distinct(F.flatten(first)), lambda s: F.struct(F.lit(n).alias("n"), F.lit(step).alias("step"), s.alias("s")))
+    lengths = {k: len(re.findall("[a-z0-9]+", v.lower())) for k, v in templates.items()}
+    if short := [k for k, n in lengths.items() if n < WORDS]:
+        raise ValueError(f"templates of fewer than {WORDS} words: {', '.join(short)}")
+    if len(templates) > MOST or sum(lengths.values()) > MOST_SHINGLES:
+        raise ValueError("too many templates")
+    known = spark.createDataFrame([(k, length_class(lengths[k]), v) for k, v in templates.items()], "license string, n int, body string")
+    known = known.withColumn("w", words(F.col("body"))).select("license", "n", F.array_distinct(shingles(F.col("w"))).alias("own"), bands(shingles(F.col("w"))).alias("bands"))
+    of: dict[int, set[int]] = {}
+    least: dict[int, int] = {}
+    rows = known.collect()  # as many shingles as the templates have words
+    for r in rows:
+        of.setdefault(r["n"], set()).update(r["own"])
+        least[r["n"]] = min(least.get(r["n"], MOST_SHINGLES), math.ceil(CONTAINED * len(r["own"])))
+    classes = sorted(of)
+    some = membership(set().union(*of.values()))
+    tests = {n: membership(values) for n, values in of.items()} if len(of) > 1 else {}
+    longest, pace = classes[-1], max(1, classes[-1] // STEP)
+    piece = max(PIECE, 2 * longest)
+
+    def hits(array: Column, test: Callable[[Column], Column]) -> Column:
+        return F.filter(F.transform(array, lambda h, i: F.when(test(h), i)), lambda i: i.isNotNull())
 
-    windows = hit.select("id", "hs", F.explode_outer(F.flatten(F.array(*(starts(n) for n in lengths)))).alias("x")).where("x is not null").select("id", "hs", "x.*")
-    window = F.slice("hs", F.col("s") + 1, F.col("n") - WORDS + 1)
+    # No filter on what comes from an array of words: Spark would push it below and repeat the splitting for each shingle.
+    hashed = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).select("id", F.when(F.size("w") >= WORDS, shingles(F.col("w"))).otherwise(F.array().cast("array<bigint>")).alias("hs"))
+    where = lambda p: F.sequence(F.floor(F.greatest(p - longest - pace, F.lit(0)) / piece).cast("int"), F.floor((p + pace) / piece).cast("int"))
+    near = hashed.select("id", "hs", F.array_distinct(F.flatten(F.transform(hits(F.col("hs"), some), where))).alias("near"))
+    first = lambda b: F.greatest(b * piece - pace, F.lit(0))
+    cut = F.transform("near", lambda b: F.struct((b * piece).alias("low"), first(b).alias("at"), F.slice("hs", first(b) + 1, F.lit(piece + longest + 2 * pace)).alias("part")))
+    pieces = near.select("id", F.explode_outer(cut).alias("x")).where("x is not null").select("id", "x.*")
+    pieces = pieces.select("id", "low", "at", "part", F.transform(hits(F.col("part"), some), lambda i: i + F.col("at")).alias("hits"))
+
+    def own_hits(n: int) -> Column:
+        return F.filter("hits", lambda p: tests[n](F.get("part", p - F.col("at")))) if tests else F.col("hits")
+
+    pieces = pieces.select("id", "low", "at", "part", F.array(*(own_hits(n) for n in classes)).alias("by"))
+
+    def starts(k: int, n: int) -> Column:
+        """Windows of a class that start in the piece and have hits enough: the first of so many in a row is not before them, the last not behind them."""
+        step, span, by, more = max(1, n // STEP), n - WORDS, F.col("by")[k], least[n] - 1
+
+        def of_hit(j: Column) -> Column:
+            low = F.ceil(F.greatest(F.get(by, j + more) - span - step, F.lit(0)) / step).cast("int") * step
+            high = F.floor((F.get(by, j) + step) / step).cast("int") * step
+            return F.when(low <= high, F.sequence(low, high, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+        all_ = F.when(F.size(by) > more, F.transform(F.sequence(F.lit(0), F.size(by) - 1 - more), of_hit)).otherwise(F.array().cast("array<array<int>>"))
+        own = F.filter(F.array_distinct(F.flatten(all_)), lambda s: (s >= F.col("low")) & (s < F.col("low") + piece))
+        return F.transform(own, lambda s: F.struct(F.lit(n).alias("n"), F.lit(step).alias("step"), s.alias("s")))
+
+    windows = pieces.select("id", "at", "part", F.explode_outer(F.flatten(F.array(*(starts(k, n) for k, n in enumerate(classes))))).alias("x")).where("x is not null").select("id", "at", "part", "x.*")
+    window = F.slice("part", F.col("s") - F.col("at") + 1, F.col("n") - WORDS + 1)
     from_ = F.greatest(F.col("s") - F.col("step"), F.lit(0))
-    wide = F.slice("hs", from_ + 1, F.col("s") - from_ + F.col("n") - WORDS + 1 + F.col("step"))
-    hashed = windows.select("id", "s", "n", F.array_distinct(wide).alias("wide"), F.posexplode(bands(window)).alias("band", "h"))
-    index = known.select("license", "n", "own", F.posexplode("bands").alias("band", "h"))
-    met = hashed.join(F.broadcast(index), ["n", "band", "h"]).select("id", "s", "wide", "license", "own")
+    wide = F.slice("part", from_ - F.col("at") + 1, F.col("s") - from_ + F.col("n") - WORDS + 1 + F.col("step"))
+    banded = windows.select("id", "s", "n", F.array_distinct(wide).alias("wide"), F.posexplode(bands(window)).alias("band", "h"))
+    index = spark.createDataFrame([(r["license"], r["n"], band, h) for r in rows for band, h in enumerate(r["bands"])], "license string, n int, band int, h bigint")
+    shares = spark.createDataFrame([(r["license"], r["own"]) for r in rows], "license string, own array<bigint>")
+    met = banded.join(F.broadcast(index), ["n", "band", "h"]).select("id", "s", "wide", "license").join(F.broadcast(shares), "license")
     share = F.size(F.array_intersect("own", "wide")) / F.size("own")
     kept = met.withColumn("containment", share).where(F.col("containment") >= CONTAINED).select("id", "s", "license", "containment")
     best = kept.groupBy("id", "license").agg(F.max(F.struct(F.col("containment"), (-F.col("s")).alias("s"))).alias("b"), F.countDistinct("s").alias("n_windows"))
     return best.select(F.col("id").alias(id_col), "license", F.col("b.containment").alias("containment"), (-F.col("b.s")).alias("first_word"), "n_windows")
-

@@ -602,3 +602,25 @@ def test_media_tables_of_two_tracks():
         both = whole[: a - 8] + (len(inner) + 8).to_bytes(4, "big") + b"moov" + inner + whole[b:]
         track, alone = media.probe(both), media.probe(whole)
         assert (track.codec, track.duration, len(track.samples), track.keys) == (alone.codec, alone.duration, len(alone.samples), alone.keys)
+
+
+def test_license_scan_of_whole_licences(spark):
+    """Licences of up to 6,000 words with changed words, in texts of one and of many pieces: recall against plain containment, and nothing that plain containment refuses."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(3000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    templates = {f"L{k:02d}": prose(n) for k, n in enumerate([5, 6, 9, 40, 41, 200, 450, 900, 1500, 2500, 4000, 6000])}
+    rows, planted = [], set()
+    for i in range(60):
+        name = rng.choice(list(templates))
+        body = [w if rng.random() > 0.03 * (i % 3) else "changed" for w in templates[name]]
+        planted.add((i, name))
+        rows.append((i, " ".join(prose(rng.choice([0, 10, 3000])) + body + prose(rng.choice([0, 50, 2600])))))
+    rows += [(100, " ".join(prose(30_000) + templates["L03"] + prose(3000) + templates["L11"])), (101, " ".join(prose(20_000))), (102, None), (103, " ".join(templates["L04"] * 300))]
+    planted |= {(100, "L03"), (100, "L11"), (103, "L04")}
+    grams = lambda ws: {tuple(ws[a : a + 5]) for a in range(len(ws) - 4)}
+    own, held = {k: grams(v) for k, v in templates.items()}, {i: grams((t or "").split()) for i, t in rows}
+    true = {(i, k) for i in held for k in own if len(own[k] & held[i]) >= 0.8 * len(own[k])}
+    found = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, DOCS), {k: " ".join(v) for k, v in templates.items()}).collect()}
+    assert found <= true and len(planted & true & found) >= 0.97 * len(planted & true) and len(planted & true) > 30
+    assert {(100, "L03"), (100, "L11"), (103, "L04")} <= found
