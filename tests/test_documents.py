@@ -313,3 +313,11 @@ def test_values_are_copied_as_written():
     again = rewritten(data)
     assert b"3 0 obj\n" + odd + b"\nendobj" in again and b"5 0 obj\n" + writers.pdf_stream(b"a\r\n", " /K 1.0") + b"\nendobj" in again
     assert pdf.PdfFile(again).object(4).data == b"ab" and b"/Length 2" in again
+
+
+def test_identifiers_of_odd_digits():
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 0 /Kids [] >>"}
+    data = writers.pdf(objects, trailer=" /ID [<1000014b5> <00 0a F>]")
+    for x in (data, rewritten(data)):
+        assert pdf.read("a", x, ())["info"]["ids"] == ["1000014B5", "000AF"]
+    assert parse(b"<1000014b5>") == b"\x10\x00\x01\x4b\x50"
