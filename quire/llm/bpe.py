@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding over Arrow batches.
 
-The ranks of a ``.tiktoken`` file become a model of the tokenizers library: every byte is written as
-one printable character, and every split of a token into two others is a merge, ordered by the
-token's rank, so the lowest rank merges first. Text is cut by the pattern; each distinct piece goes
-to the library once, in batches, and repeated pieces are looked up. Decoding turns ids into characters, reverses
-the byte table and joins the bytes of a text before any character is read, so a character split over tokens comes back whole.
+Text is cut by the pattern, and within each piece the two neighbours that make the token of the
+lowest rank merge first; the tiktoken library does both, for a whole text at once. Its expressions stop at runs
+of a million white spaces, so a text of over ``WHOLE`` characters is cut here and goes to it piece by piece, with the
+same ids. Decoding joins the bytes of a text before any character is read, so a character split over tokens comes back whole.
+No piece of a text up to ``WHOLE`` is remembered, so the time of a text does not depend on the texts before it.
 
 Null and empty texts have no tokens. Repeated rows give equal rows; other columns pass through, but for those that have a new column's name: it replaces them.
 """
@@ -12,10 +12,11 @@ Null and empty texts have no tokens. Repeated rows give equal rows; other column
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -24,64 +25,41 @@ from pyspark.sql import types as T
 
 from quire.llm.common import utf8
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+#: Characters of the longest text that tiktoken cuts.
+WHOLE = 200_000
 _coders: dict[str, Coder] = {}
 
 
-def byte_characters() -> dict[int, str]:
-    """Printable Latin-1 bytes are themselves; the rest follow from U+0100."""
-    table = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b and b != 173}
-    rest = (b for b in range(256) if b not in table)
-    return table | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class Coder:
-    """Encodes and decodes; cache: pieces remembered before all are forgotten."""
+    """Encodes and decodes; cache: the pieces of texts over WHOLE that are remembered."""
 
     def __init__(self, ranks: bytes, pattern: str, cache: int = 200_000):
-        from tokenizers import Tokenizer, models
+        import tiktoken
 
         rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x.strip())}
-        table = byte_characters()
-        shown = {k: "".join(map(table.__getitem__, k)) for k in rank}
-        merges = []
-        for token in sorted(rank, key=rank.get):
-            splits = ((token[:i], token[i:]) for i in range(1, len(token)))
-            merges += [(shown[a], shown[b]) for a, b in sorted((s for s in splits if s[0] in rank and s[1] in rank), key=lambda s: (rank[s[0]], rank[s[1]]))]
-        self.model = Tokenizer(models.BPE(vocab={shown[k]: v for k, v in rank.items()}, merges=merges, ignore_merges=True))
-        reverse = {c: b for b, c in table.items()}
-        self.bytes = [b""] * (max(rank.values()) + 1)
+        if missing := [b for b in range(256) if bytes([b]) not in rank]:
+            raise ValueError(f"{len(missing)} bytes have no rank, {missing[0]} among them")
+        self.model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=rank, special_tokens={})
+        self.lengths, self.shown = ([0] * (max(rank.values()) + 1) for _ in range(2))
         for k, v in rank.items():
-            self.bytes[v] = bytes(map(reverse.__getitem__, shown[k]))
-        self.table = str.maketrans({bytes([b]).decode("latin-1"): c for b, c in table.items()})
-        self.find, self.limit, self.known = regex.compile(pattern).findall, cache, {}
-
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of text, each known from here on."""
-        found = self.find(text)
-        if new := [x for x in set(found) if x not in self.known]:
-            if len(self.known) > self.limit:
-                self.known = {}
-                new = list(set(found))
-            shown = [x.encode().decode("latin-1").translate(self.table) for x in new]
-            for piece, code in zip(new, self.model.encode_batch_fast(shown, add_special_tokens=False), strict=True):
-                self.known[piece] = code.ids
-        return found
+            self.lengths[v], self.shown[v] = len(k), str(v)
+        self.cut, self.piece = regex.compile(pattern).finditer, functools.lru_cache(cache)(self.model._encode_single_piece)
 
     def encode(self, text: str) -> list[int]:
-        found = self.pieces(text)
-        return list(chain.from_iterable(map(self.known.__getitem__, found)))
+        if len(text) <= WHOLE:
+            return self.model.encode_ordinary(text)
+        return list(chain.from_iterable(self.piece(x[0]) for x in self.cut(text)))
 
     def offsets(self, ids: list[int]) -> list[int]:
         """The byte at which each token starts."""
-        out, at = [], 0
-        for i in ids:
-            out.append(at)
-            at += len(self.bytes[i])
-        return out
+        return list(accumulate(map(self.lengths.__getitem__, ids[:-1]), initial=0)) if ids else []
+
+    def listed(self, ids: list[int]) -> str:
+        """Decimal ids, joined by commas."""
+        return ",".join(map(self.shown.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return self.model.decode_bytes(ids)
 
 
 def coder(ranks: bytes, pattern: str) -> Coder:
@@ -120,10 +98,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
             out = []
             for text in utf8(batch.column(text_col)):
                 ids = code.encode(text.decode())
-                out.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(code.decode(ids)).hexdigest()) if digests else (ids, code.offsets(ids)))
+                out.append((len(ids), hashlib.sha256(code.listed(ids).encode()).hexdigest(), hashlib.sha256(code.decode(ids)).hexdigest()) if digests else (ids, code.offsets(ids)))
             made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
-        code.known = {}  # the worker lives on
+        code.piece.cache_clear()  # the worker lives on
 
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds.values(), strict=True))])
     return df.mapInArrow(run, schema)

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontam, jaccard, langid, licenses, lm, media, quality, suffix, urls
@@ -249,6 +250,49 @@ def test_bpe_of_split_characters(spark, vocabulary):
     assert [small.encode(text) for _ in range(3)] == [code.encode(text)] * 3
 
 
+def merged_plainly(piece, ranks):
+    """Ids of a piece: of all neighbours that make a token, the first of the lowest rank merge."""
+    parts = [bytes([b]) for b in piece]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank == 1 << 40:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[x] for x in parts]
+
+
+def test_bpe_merges_plainly_and_remembers_no_pieces(vocabulary, monkeypatch):
+    path, pattern = vocabulary
+    with open(path, "rb") as f:
+        data = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+    code = bpe.Coder(data, pattern)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aeinrst aé字🙂 \n\t\r'sdLL019.,!\u00a0\u2028\u0301") for _ in range(rng.randint(0, 120))) for _ in range(400)] + ["", "x" * 700, " " * 300 + "x", "<|endoftext|>"]
+    expected = [[i for x in regex.findall(pattern, t) for i in merged_plainly(x.encode(), ranks)] for t in texts]
+    assert [code.encode(t) for t in texts] == expected
+    for t, ids in zip(texts, expected, strict=True):
+        assert code.decode(ids) == t.encode() and code.listed(ids) == ",".join(map(str, ids))
+        assert code.offsets(ids) == [len(code.decode(ids[:i])) for i in range(len(ids))]
+    assert code.piece.cache_info().currsize == 0
+    monkeypatch.setattr(bpe, "WHOLE", 0)
+    assert [code.encode(t) for t in texts] == expected
+    assert code.piece.cache_info().currsize > 0
+
+
+def test_bpe_of_long_runs(vocabulary):
+    path, pattern = vocabulary
+    with open(path, "rb") as f:
+        data = f.read()
+    code = bpe.coder(data, pattern)
+    for text in (" " * 1_200_000 + "x", "\n" * bpe.WHOLE, "a" * 300_000, "字" * 100_000 + " b" * 100_000):
+        assert code.decode(code.encode(text)) == text.encode()
+    one = code.encode(" ")
+    assert code.encode(" " * bpe.WHOLE) == one * bpe.WHOLE and code.encode(" " * 1_200_000) == one * 1_200_000
+    with pytest.raises(ValueError, match="no rank"):
+        bpe.Coder(data[data.index(b"\n") + 1 :], pattern)
+
+
 def test_quality_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
